@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from sessionloom.llm.bpe import op2_byte_bpe
 from sessionloom.llm.media_avi import op1_avi_shots
 
-QUERIES: dict[str, Callable] = {"op1_avi_shots": op1_avi_shots}
+QUERIES: dict[str, Callable] = {"op1_avi_shots": op1_avi_shots, "op2_byte_bpe": op2_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
