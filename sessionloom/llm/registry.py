@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from sessionloom.llm.bpe import op2_byte_bpe
 from sessionloom.llm.media_avi import op1_avi_shots
+from sessionloom.llm.secrets import op3_secret_scan
 
-QUERIES: dict[str, Callable] = {"op1_avi_shots": op1_avi_shots, "op2_byte_bpe": op2_byte_bpe}
+QUERIES: dict[str, Callable] = {"op1_avi_shots": op1_avi_shots, "op2_byte_bpe": op2_byte_bpe, "op3_secret_scan": op3_secret_scan}
 ORACLE_SQL: dict[str, str] = {}
