@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -51,3 +53,27 @@ def map_chunks(df: DataFrame, kernel: Callable, schema: str, limit: int = CHUNK_
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
     return df.mapInArrow(run, schema)
+
+
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share; a temporary one only where the session names none."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sessionloom-"))
+    return context.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet to the shared folder and read again: short lineage, and lost executors cost nothing."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def drop_stage(staged: DataFrame) -> None:
+    """Deletes a staged table that no later step reads."""
+    spark = staged.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged._stage_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

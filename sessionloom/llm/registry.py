@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from sessionloom.llm.bpe import op2_byte_bpe
 from sessionloom.llm.media_avi import op1_avi_shots
+from sessionloom.llm.packing import op4_best_fit_packing
 from sessionloom.llm.secrets import op3_secret_scan
 
-QUERIES: dict[str, Callable] = {"op1_avi_shots": op1_avi_shots, "op2_byte_bpe": op2_byte_bpe, "op3_secret_scan": op3_secret_scan}
+QUERIES: dict[str, Callable] = {
+    "op1_avi_shots": op1_avi_shots,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_best_fit_packing": op4_best_fit_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
