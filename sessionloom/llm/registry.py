@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from sessionloom.llm.bpe import op2_byte_bpe
 from sessionloom.llm.media_avi import op1_avi_shots
+from sessionloom.llm.ngram_join import op5_ngram_jaccard
 from sessionloom.llm.packing import op4_best_fit_packing
 from sessionloom.llm.secrets import op3_secret_scan
 
@@ -14,5 +15,6 @@ QUERIES: dict[str, Callable] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {}
