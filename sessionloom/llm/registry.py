@@ -9,6 +9,7 @@ from sessionloom.llm.media_avi import op1_avi_shots
 from sessionloom.llm.ngram_join import op5_ngram_jaccard
 from sessionloom.llm.packing import op4_best_fit_packing
 from sessionloom.llm.secrets import op3_secret_scan
+from sessionloom.llm.substring_dedup import op7_substring_dedup
 
 QUERIES: dict[str, Callable] = {
     "op1_avi_shots": op1_avi_shots,
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
