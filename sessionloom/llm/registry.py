@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from sessionloom.llm.bpe import op2_byte_bpe
+from sessionloom.llm.language_id import op8_language_mixture
 from sessionloom.llm.media_avi import op1_avi_shots
 from sessionloom.llm.ngram_join import op5_ngram_jaccard
 from sessionloom.llm.packing import op4_best_fit_packing
@@ -18,5 +19,6 @@ QUERIES: dict[str, Callable] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_language_mixture": op8_language_mixture,
 }
 ORACLE_SQL: dict[str, str] = {}
