@@ -11,6 +11,7 @@ from sessionloom.llm.ngram_join import op5_ngram_jaccard
 from sessionloom.llm.packing import op4_best_fit_packing
 from sessionloom.llm.secrets import op3_secret_scan
 from sessionloom.llm.substring_dedup import op7_substring_dedup
+from sessionloom.llm.url_rules import op9_url_rules
 
 QUERIES: dict[str, Callable] = {
     "op1_avi_shots": op1_avi_shots,
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable] = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_mixture": op8_language_mixture,
+    "op9_url_rules": op9_url_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
