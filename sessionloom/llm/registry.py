@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from sessionloom.llm.bpe import op2_byte_bpe
+from sessionloom.llm.embedding_dedup import op10_rp_forest
 from sessionloom.llm.language_id import op8_language_mixture
 from sessionloom.llm.media_avi import op1_avi_shots
 from sessionloom.llm.ngram_join import op5_ngram_jaccard
@@ -22,5 +23,6 @@ QUERIES: dict[str, Callable] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_mixture": op8_language_mixture,
     "op9_url_rules": op9_url_rules,
+    "op10_rp_forest": op10_rp_forest,
 }
 ORACLE_SQL: dict[str, str] = {}
