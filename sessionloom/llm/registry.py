@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from sessionloom.llm.bpe import op2_byte_bpe
 from sessionloom.llm.embedding_dedup import op10_rp_forest
+from sessionloom.llm.kneser_ney import op6_kneser_ney
 from sessionloom.llm.language_id import op8_language_mixture
 from sessionloom.llm.media_avi import op1_avi_shots
 from sessionloom.llm.ngram_join import op5_ngram_jaccard
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_mixture": op8_language_mixture,
     "op9_url_rules": op9_url_rules,
