@@ -5,15 +5,15 @@ document's set size and the smallest document it reaches by links.
 
 1. *Classes.* Documents of one set are one node (64-bit set hash, checked by a second one; a clash repeats with other
    numbers). From here on a group of exact copies counts once, however large it is.
-2. *Blocks.* Sets that link differ in at most d n-grams, d following from their sizes. So a set is dealt by n-gram hash
-   into more than d parts, once for each size range that its partners may lie in; sets that link agree on a whole part.
-   Equal parts meet in a block of the incidence matrix's rows. A map task ties its own equal parts together and sends one
-   of them on, so a part shared by a third of all documents costs a reducer one entry a map task.
+2. *Blocks.* Columns are ordered by frequency, rare ones first, and a set that links shares a column among the first
+   |A| - ceil(percent * |A| / 100) + 1 of each side. These entries of the matrix are dealt into blocks of columns. A map task
+   ties its own rows of a column together and sends one of them on, so a column held by a third of all documents costs a
+   reducer one entry a map task; and such columns come last in the order, so they are hardly ever dealt at all.
 3. *Products.* Within a block each row is multiplied with the row of the block's first node: overlap counts, after pairs
    have been discarded whose sizes rule the bound out. Rows are read again for these nodes alone; a first node with very
    many rows is split into several products.
-4. *The rest of a block.* Links join nodes to components. Where a block still spans several components, all its pairs
-   between different components are multiplied, too. Pairs inside a component cannot change it and are left out: this keeps
+4. *The rest of a column.* Links join nodes to components. Where a column still spans several components, all its pairs
+   between different components that the sizes allow are multiplied, too: pair by pair, or for crowded columns tile by tile inside a task. Pairs inside a component cannot change it and are left out: this keeps
    a group of thousands of near copies linear without losing a link between components.
 
 Null text or text without words: an empty set, linked with nothing, its own component. Fewer words than n: the whole
@@ -22,21 +22,24 @@ sequence is the one n-gram. Repeated rows share a class. A null doc_id takes no
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm import arrowio
-from sessionloom.llm.components import components
+from sessionloom.llm.components import UnionFind, components
 from sessionloom.llm.textwords import U64, Words, grams, mix, numbers
 
 N, PERCENT = 4, 85
-#: Entries of a block of parts, and rows of one product, that a task holds at once.
+#: Entries of a block of columns, and rows of one product, that a task holds at once.
 BLOCK, ROWS = 1_000_000, 256
-#: Bytes of text that a map task gathers before it ties equal parts together.
+#: Hash ranges whose frequencies order the columns.
+SLOT_BITS = 20
+#: A column with more open rows than this is multiplied in tiles of TILE rows instead of pair by pair.
+CROWD, TILE = 32, 1024
+#: Bytes of text that a map task gathers before it ties its rows together.
 GATHER = 4 << 20
 
 
@@ -60,44 +63,50 @@ def _set_hash(s: np.ndarray, seed: int) -> int:
     return int(mix(np.add.reduce(mix(s + numbers(1, seed)[0]), keepdims=True, dtype=U64) + U64(len(s)))[0].astype(np.int64)) if len(s) else 0
 
 
-@functools.lru_cache(8)
-def _ranges(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest sizes of the size ranges, and the parts that sets of a range or the one before are dealt into."""
-    # below this size only equal sets link
-    low, lows, parts = next(n for n in range(1, 200) if 100 * n >= percent * (n + 1)), [], []
-    while low < 1 << 40:
-        high = low * 100 // percent
-        d = 2 * high * (100 - percent) // (100 + percent)
-        lows.append(low)
-        parts.append(d + 2 + d // 50)
-        low = high + 1
-    return np.array(lows), np.array(parts)
+def _slots(g: np.ndarray) -> np.ndarray:
+    return (g >> U64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def column_weights(docs: DataFrame, n: int) -> np.ndarray:
+    """How frequent the n-grams of each of 2^SLOT_BITS hash ranges are in all texts, on a log scale of one byte.
 
+    Any fixed order of the columns gives right results; this one puts common passages last. The table's size is fixed.
+    """
+    parts = 64
 
-def _most_apart(index: int, percent: int) -> int:
-    lows, _ = _ranges(percent)
-    return 2 * int(lows[index + 1] - 1) * (100 - percent) // (100 + percent)
+    def count(batches):
+        total = np.zeros(1 << SLOT_BITS, np.uint32)
+        for _, texts in arrowio.chunks(batches):
+            total += np.bincount(_slots(grams(Words(texts, lower=True).hashes(), n)), minlength=len(total)).astype(np.uint32)
+        if total.any():
+            squeeze = zstandard.ZstdCompressor(level=1).compress
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([squeeze(x.tobytes()) for x in np.split(total, parts)], pa.binary())], names=["part", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held = np.frombuffer(zstandard.decompress(blob.as_py()), np.uint32)
+                sums[part] = sums.get(part, 0) + held.astype(np.float64)
+        # one byte a slot from here on
+        level = [np.minimum(np.log2(1 + x) * 5, 255).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(level, pa.binary())], names=["part", "levels"])
+
+    levels = docs.mapInArrow(count, "part int, counts binary").repartition(parts, "part").mapInArrow(add, "part int, levels binary").collect()
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    for r in levels:
+        out[r.part * len(out) // parts :][: len(out) // parts] = np.frombuffer(r.levels, np.uint8)
+    return out
 
 
-def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the set's parts: sets that link have one in common."""
-    lows, parts = _ranges(percent)
-    if len(s) < lows[0]:
+def prefix(s: np.ndarray, weights: np.ndarray, percent: int) -> np.ndarray:
+    """The set's first columns in the order of weights: sets that link share one of them."""
+    n = len(s)
+    if 100 * n < percent * (n + 1):
         return s[:0]
-    own = int(np.searchsorted(lows, len(s), side="right")) - 1
-    value, out = mix(s ^ U64(0x5851F42D4C957F2D)), []
-    for index in (own, own + 1):
-        k = int(parts[index])
-        part = (s >> U64(32)) * U64(k) >> U64(32)
-        at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        held, total = part[at], np.add.reduceat(value, at)
-        if len(at) <= _most_apart(index, percent):
-            # so many parts are empty that only those may be untouched: they count as well
-            full = np.zeros(k, U64)
-            full[held.astype(np.int64)] = total
-            held, total = np.arange(k, dtype=U64), full
-        out.append(mix(total + mix(held + U64(index << 32))))
-    return np.concatenate(out)
+    length = n + (-percent * n // 100) + 1
+    key = weights[_slots(s)].astype(U64) << U64(56) | s >> U64(8)
+    return key if length >= n else np.partition(key, length)[:length]
 
 
 def sets_of(docs: DataFrame, n: int, seed: int) -> DataFrame:
@@ -122,14 +131,14 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, nodes, start, nodes[np.maximum.accumulate(np.where(start, np.arange(len(keys)), 0))] if len(keys) else nodes
 
 
-def block_ties(docs: DataFrame, n: int, percent: int, seed: int, blocks: int) -> DataFrame:
-    """(part, a, b): nodes that have a part in common, each tied to the part's smallest node in its map task or block."""
+def block_ties(docs: DataFrame, n: int, percent: int, seed: int, blocks: int, weights) -> DataFrame:
+    """(part, a, b): nodes that share a column of their prefixes, each tied to the column's smallest node in its map task or block."""
 
     def deal(ids, texts):
         keys, nodes = [], []
         for s in ngram_sets(texts, n):
             if len(s):
-                keys.append(part_keys(s, percent))
+                keys.append(prefix(s, weights.value, percent))
                 nodes.append(np.full(len(keys[-1]), _set_hash(s, seed), np.int64))
         if not keys:
             return None
@@ -137,7 +146,9 @@ def block_ties(docs: DataFrame, n: int, percent: int, seed: int, blocks: int) ->
         tied = ~start
         rows = [(blocks, np.concatenate((keys[tied].view(np.int64), first[tied], nodes[tied])).tobytes())] if tied.any() else []
         keys, nodes = keys[start], nodes[start]
-        block = (keys >> U64(40)) * U64(blocks) >> U64(24)
+        block = (mix(keys) >> U64(40)) * U64(blocks) >> U64(24)
+        order = np.argsort(block, kind="stable")
+        keys, nodes, block = keys[order], nodes[order], block[order]
         at = np.searchsorted(block, np.arange(blocks + 1, dtype=U64))
         rows += [(k, np.concatenate((keys[a:b].view(np.int64), nodes[a:b])).tobytes()) for k, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)) if b > a]
         return pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())
@@ -224,6 +235,73 @@ def products(pairs: DataFrame, rows: DataFrame, n: int, percent: int, seed: int)
     return wanted.repartition("a", "s").sortWithinPartitions("a", "s").mapInArrow(run, "a long, b long")
 
 
+def family_products(members: DataFrame, rows: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
+    """(a, b) links between members (node, family, of) of one family but different ``of``, enough to join what links join.
+
+    A family's rows are cut into tiles; every two tiles are multiplied by blocks of columns in a task of their own.
+    """
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, "tile").alias("first"), F.greatest(k, "tile").alias("second")))
+    dealt = members.join(sizes, "family").withColumn("tile", tile).withColumn("meet", F.explode(meets)).select("family", "meet.first", "meet.second", "tile", "node", "of")
+
+    def product(first: int, second: int, held: list) -> list[tuple[int, int]]:
+        sets = ngram_sets([h[3] for h in held], n)
+        held, sets = zip(*([(h, s) for h, s in zip(held, sets, strict=True) if _set_hash(s, seed) == h[1]] or [((), ())]), strict=True)
+        if len(held) < 2:
+            return []
+        sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        columns, index, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[index] > 1
+        owner, index = owner[shared], index[shared]
+        order = np.argsort(index, kind="stable")
+        owner, index = owner[order], index[order]
+        tiles = np.array([h[0] for h in held])
+        a, b = np.flatnonzero(tiles == first), np.flatnonzero(tiles == second)
+        place_a, place_b = np.full(len(held), -1), np.full(len(held), -1)
+        place_a[a], place_b[b] = np.arange(len(a)), np.arange(len(b))
+        overlap = np.zeros((len(a), len(b)), np.float32)
+        for start in range(0, len(columns), 4096):
+            x, y = np.searchsorted(index, (start, start + 4096))
+            if x == y:
+                continue
+            row, column = owner[x:y], index[x:y] - start
+            one, two = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
+            mine = place_a[row] >= 0
+            one[place_a[row[mine]], column[mine]] = 1
+            mine = place_b[row] >= 0
+            two[place_b[row[mine]], column[mine]] = 1
+            overlap += one @ two.T
+        of = np.array([h[2] for h in held])
+        union = sizes[a][:, None] + sizes[b][None] - overlap
+        i, j = np.nonzero((100 * overlap.astype(np.float64) >= percent * union) & (of[a][:, None] != of[b][None]))
+        joined = UnionFind()
+        # one link between two components is enough
+        return [(held[a[p]][1], held[b[q]][1]) for p, q in zip(i.tolist(), j.tolist(), strict=True) if joined.union(int(of[a[p]]), int(of[b[q]]))]
+
+    def run(batches):
+        key, held, out = None, [], []
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for family, first, second, *row, text in zip(*columns, batch.column(6).cast(pa.large_binary()), strict=True):
+                if (family, first, second) != key:
+                    if key:
+                        out += product(*key[1:], held)
+                    key, held = (family, first, second), []
+                held.append((*row, text.as_py()))
+        if key:
+            out += product(*key[1:], held)
+        yield batch_of()
+
+    wanted = dealt.join(rows, "node").select("family", "first", "second", "tile", "node", "of", "text")
+    return wanted.repartition("family", "first", "second").sortWithinPartitions("family", "first", "second").mapInArrow(run, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = arrowio.id_text(docs, id_col, text_col)
@@ -235,26 +313,35 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_c
         if not totals["clashes"]:
             break
         seed += 2
-    nodes = classes.select("node", "rep")
-    blocks = 1 + int((totals["n"] or 0) * 0.4 * (100 - percent) / 15) // BLOCK
-    ties = arrowio.stage(block_ties(docs, n, percent, seed, blocks))
+    nodes = arrowio.stage(classes.select("node", "rep", "n"))
+    blocks = 1 + (totals["n"] or 0) * (100 - percent) // 100 // BLOCK
+    weights = docs.sparkSession.sparkContext.broadcast(column_weights(docs, n))
+    ties = arrowio.stage(block_ties(docs, n, percent, seed, blocks, weights))
     tried = arrowio.stage(ties.select("a", "b").distinct())
-    involved = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    involved = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
     rows = arrowio.stage(involved.join(docs, F.col("rep") == F.col("doc_id")).select("node", "text"))
     links = arrowio.stage(products(tried, rows, n, percent, seed))
     joined = arrowio.stage(components(links))
-    # parts whose nodes are still in several components, and have more nodes than the pair that was tried
+    # columns whose nodes are still in several components, and have more nodes than the pair that was tried
     component = lambda col: (joined.select(F.col("node").alias(col), F.col("component").alias(f"{col}_of")), col)
     seen = ties.join(*component("a"), "left").join(*component("b"), "left").select("part", "a", "b", F.coalesce("a_of", "a").alias("a_of"), F.coalesce("b_of", "b").alias("b_of"))
     ties_open = seen.where("a_of <> b_of").select("part").distinct()
-    ends = seen.join(ties_open, "part").select("part", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_of").alias("of")), F.struct(F.col("b").alias("node"), F.col("b_of").alias("of")))).alias("x")).select("part", "x.node", "x.of").distinct()
-    left, right = ends.select("part", F.col("node").alias("a"), F.col("of").alias("a_of")), ends.select("part", F.col("node").alias("b"), F.col("of").alias("b_of"))
-    open_pairs = left.join(right, "part").where("a < b and a_of <> b_of").select("a", "b").distinct()
+    ends = seen.join(ties_open, "part").select("part", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_of").alias("of")), F.struct(F.col("b").alias("node"), F.col("b_of").alias("of")))).alias("x")).select("part", "x.node", "x.of").distinct().join(nodes.select("node", "n"), "node")
+    ends = arrowio.stage(ends)
+    crowded = ends.groupBy("part").agg(F.count("*").alias("m"), F.min("node").alias("a")).where(F.col("m") > CROWD).select("part", "a")
+    few = ends.join(crowded, "part", "left_anti")
+    left = few.select("part", F.col("node").alias("a"), F.col("of").alias("a_of"), F.col("n").alias("a_n"))
+    right = few.select("part", F.col("node").alias("b"), F.col("of").alias("b_of"), F.col("n").alias("b_n"))
+    near = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & F.expr("a < b and a_of <> b_of")
+    open_pairs = left.join(right, "part").where(near).select("a", "b").distinct()
+    families = components(ends.join(crowded, "part").select("a", F.col("node").alias("b")))
+    members = families.join(ends.select("node", "of").distinct(), "node").select("node", F.col("component").alias("family"), "of")
+    crossed = family_products(members, rows, n, percent, seed)
     untried = arrowio.stage(open_pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = arrowio.stage(products(untried, rows, n, percent, seed))
+    more = arrowio.stage(products(untried, rows, n, percent, seed).union(crossed))
     if not more.isEmpty():
         joined = arrowio.stage(components(links.union(more)))
-    reached = joined.join(nodes, "node")
+    reached = joined.join(nodes.select("node", "rep"), "node")
     least = reached.groupBy("component").agg(F.min("rep").alias("least"))
     of_node = joined.join(least, "component").select("node", "least")
     final = nodes.join(of_node, "node", "left").select("node", F.coalesce("least", "rep").alias("least"))
