@@ -256,7 +256,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     renamed = docs.toDF(*(f"c{k}" for k in range(len(names))))
     marked = _marked(renamed, f"c{names.index(id_col)}", f"c{names.index(text_col)}")
     joined = _with_spans(marked, window, m).select(*renamed.columns, "__spans")
-    at = names.index(text_col)
+    at, plain = names.index(text_col), renamed.columns
 
     def run(batches):
         for batch in batches:
@@ -267,7 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     n, kept = kept_words(value.encode(), spans)
                     value = value if n == len(kept) else b" ".join(kept).decode()
                 texts.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names=renamed.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names=plain)
 
     return joined.mapInArrow(run, renamed.schema).toDF(*names)
 
