@@ -9,8 +9,9 @@ that they carry; so tasks send on counts and a spanning set of links, not pairs,
 A leaf with more than ``TILE`` vectors is cut into tiles, and every two tiles meet in a task of their own.
 
 Components come from the distributed union of the links. Null or zero vectors, or ones holding null or non-finite values,
-or whose length is not that of most of the sample, link with nothing. Repeated ids are separate rows of one number: they share the component, and
-links between rows of equal vec_id don't count. Labels aren't read. An empty table gives no rows.
+or whose length is not that of most of the sample, link with nothing. Repeated ids are one
+number: links between its rows don't count, its links to others add up over its rows, and each row gets the number's result.
+Labels aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
