@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +68,9 @@ def stage(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet to the shared folder and read again: short lineage, and lost executors cost nothing."""
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the shuffle files behind these rows are of no more use: the driver's collector tells executors to delete them
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out

@@ -10,8 +10,8 @@ document's set size and the smallest document it reaches by links.
    ties its own rows of a column together and sends one of them on, so a column held by a third of all documents costs a
    reducer one entry a map task; and such columns come last in the order, so they are hardly ever dealt at all.
 3. *Products.* Within a block each row is multiplied with the row of the block's first node: overlap counts, after pairs
-   have been discarded whose sizes rule the bound out. Rows are read again for these nodes alone; a first node with very
-   many rows is split into several products.
+   have been discarded whose sizes, or parity outlines of 2048 bits, rule the bound out. Rows are read again for these
+   nodes alone; a first node with very many rows is split into several products.
 4. *The rest of a column.* Links join nodes to components. Where a column still spans several components, all its pairs
    between different components that the sizes allow are multiplied, too: pair by pair, or for crowded columns tile by tile inside a task. Pairs inside a component cannot change it and are left out: this keeps
    a group of thousands of near copies linear without losing a link between components.
@@ -35,6 +35,8 @@ from sessionloom.llm.textwords import U64, Words, grams, mix, numbers
 N, PERCENT = 4, 85
 #: Entries of a block of columns, and rows of one product, that a task holds at once.
 BLOCK, ROWS = 1_000_000, 256
+#: Bits of a row's outline, by which pairs are ruled out.
+OUTLINE = 2048
 #: Hash ranges whose frequencies order the columns.
 SLOT_BITS = 20
 #: A column with more open rows than this is multiplied in tiles of TILE rows instead of pair by pair.
@@ -183,6 +185,43 @@ def block_ties(docs: DataFrame, n: int, percent: int, seed: int, blocks: int, we
     return dealt.repartition(max(1, blocks), "block", spread).sortWithinPartitions("block").mapInArrow(run, "part long, a long, b long")
 
 
+def outlines(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """(node, size, outline): OUTLINE bits a row, each the parity of the set's n-grams that fall on it.
+
+    Sets that differ in d n-grams differ in d bits at most, whatever their sizes.
+    """
+
+    def run(batches):
+        for nodes, texts in arrowio.chunks(batches):
+            out = []
+            for node, s in zip(nodes, ngram_sets(texts, n), strict=True):
+                if _set_hash(s, seed) == node:
+                    bits = np.bincount((s >> U64(20)).astype(np.int64) % OUTLINE, minlength=OUTLINE).astype(np.uint8) & 1
+                    out.append((node, len(s), np.packbits(bits).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "size", "outline"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, size long, outline binary").dropDuplicates(["node"])
+
+
+def possible(pairs: DataFrame, outline: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs that sizes and outlines don't rule out."""
+    one = outline.select(F.col("node").alias("a"), F.col("size").alias("a_n"), F.col("outline").alias("a_x"))
+    two = outline.select(F.col("node").alias("b"), F.col("size").alias("b_n"), F.col("outline").alias("b_x"))
+    near = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (3, 5))
+                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+                keep = pa.array(apart * (100 + percent) <= total * (100 - percent))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return pairs.join(one, "a").join(two, "b").where(near).select("a", "b", "a_n", "a_x", "b_n", "b_x").mapInArrow(run, "a long, b long")
+
+
 def products(pairs: DataFrame, rows: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     """(a, b) pairs that link. rows: (node, text) of every node in them; texts of another set than the node's are passed over."""
     rest = F.pmod(F.xxhash64("b"), F.col("splits"))
@@ -320,7 +359,8 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_c
     tried = arrowio.stage(ties.select("a", "b").distinct())
     involved = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
     rows = arrowio.stage(involved.join(docs, F.col("rep") == F.col("doc_id")).select("node", "text"))
-    links = arrowio.stage(products(tried, rows, n, percent, seed))
+    outline = arrowio.stage(outlines(rows, n, seed))
+    links = arrowio.stage(products(arrowio.stage(possible(tried, outline, percent)), rows, n, percent, seed))
     joined = arrowio.stage(components(links))
     # columns whose nodes are still in several components, and have more nodes than the pair that was tried
     component = lambda col: (joined.select(F.col("node").alias(col), F.col("component").alias(f"{col}_of")), col)
@@ -337,7 +377,8 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_c
     families = components(ends.join(crowded, "part").select("a", F.col("node").alias("b")))
     members = families.join(ends.select("node", "of").distinct(), "node").select("node", F.col("component").alias("family"), "of")
     crossed = family_products(members, rows, n, percent, seed)
-    untried = arrowio.stage(open_pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    untried = open_pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    untried = arrowio.stage(possible(untried, outline, percent))
     more = arrowio.stage(products(untried, rows, n, percent, seed).union(crossed))
     if not more.isEmpty():
         joined = arrowio.stage(components(links.union(more)))
