@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from sessionloom.llm import arrowio
 from sessionloom.llm.textwords import U64, Words, grams, mix, powers, window_grams
 
-WINDOW, M = 20, 5
+WINDOW, M = 20, 3
 #: Bytes of text a map task gathers before it sends, and bytes of the whole corpus for each bucket.
-FLUSH, BUCKET, PASSES = 8 << 20, 16 << 20, 4
+FLUSH, BUCKET, PASSES = 8 << 20, 4 << 20, 4
 LAST = (1 << 63) - 1
 _BASE = 0x2545F4914F6CDD1D
 
@@ -110,19 +110,23 @@ class Outbox:
         repeat = order[~first & later]
         rows = []
         if len(repeat):
-            rows.append((-1, np.stack((numbers[repeat], keys[repeat], at[repeat], at[repeat] + count[repeat] + window - 1)).astype(np.int64).tobytes()))
+            rows.append((-1, np.stack((numbers[repeat], keys[repeat] & 0xFFFFFFFF, at[repeat], at[repeat] + count[repeat] + window - 1)).astype(np.int64).tobytes()))
         # rows of one doc_id may tie for the first place: each of them goes on, so that all get the same verdict
         send = order[first | ~later]
+        send.sort()
+        # in order of bucket, then pass, then document
         bucket = ((least[send] >> U64(32)) * U64(self.buckets) >> U64(32)).astype(np.int64)
-        send = send[np.argsort(bucket, kind="stable")]
-        bucket = np.sort(bucket)
-        edges = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        turn = ((least[send] & U64(0xFFFF)) % U64(PASSES)).astype(np.int64)
+        by = np.argsort(bucket * PASSES + turn, kind="stable")
+        send, bucket, turn = send[by], bucket[by], turn[by]
+        edges = np.searchsorted(bucket * PASSES + turn, np.arange(self.buckets * PASSES + 1)).tolist()
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for k in np.unique(bucket).tolist():
-            part = send[edges[k] : edges[k + 1]]
+            part = send[edges[k * PASSES] : edges[(k + 1) * PASSES]]
             texts = [blobs[s][x:y] for s, x, y in zip(source[part].tolist(), begin[part].tolist(), end[part].tolist(), strict=True)]
-            head = np.stack((numbers[part], at[part], keys[part], least[part].view(np.int64), np.fromiter(map(len, texts), np.int64, len(texts)))).astype(np.int64)
-            rows.append((k, len(part).to_bytes(8, "little") + squeeze(head.tobytes() + b"".join(texts))))
+            upto = np.array(edges[k * PASSES : (k + 1) * PASSES + 1], np.int64) - edges[k * PASSES]
+            head = (upto, numbers[part].astype(np.int64), at[part].astype(np.int32), np.fromiter(map(len, texts), np.int32, len(texts)), keys[part].astype(np.uint32))
+            rows.append((k, squeeze(b"".join(x.tobytes() for x in head) + b"".join(texts))))
         return rows
 
 
@@ -132,13 +136,14 @@ def bucket_repeats(blobs: list[bytes], window: int) -> list[np.ndarray]:
     for turn in range(PASSES):
         heads, texts = [], []
         for blob in blobs:
-            n = int.from_bytes(blob[:8], "little")
-            raw = zstandard.ZstdDecompressor().decompressobj().decompress(blob[8:])
-            head = np.frombuffer(raw, np.int64, 5 * n).reshape(5, n)
-            mine = np.flatnonzero((head[3].view(U64) & U64(0xFFFF)) % U64(PASSES) == turn)
-            ends = np.cumsum(head[4]) + 40 * n
-            texts += [raw[e - s : e] for e, s in zip(ends[mine].tolist(), head[4][mine].tolist(), strict=True)]
-            heads.append(head[:3, mine])
+            raw = zstandard.ZstdDecompressor().decompressobj().decompress(blob)
+            upto = np.frombuffer(raw, np.int64, PASSES + 1)
+            n, mine = int(upto[-1]), slice(int(upto[turn]), int(upto[turn + 1]))
+            base = upto.nbytes
+            sizes = np.frombuffer(raw, np.int32, n, base + 12 * n).astype(np.int64)
+            ends = np.cumsum(sizes) + base + 20 * n
+            texts += [raw[e - s : e] for e, s in zip(ends[mine].tolist(), sizes[mine].tolist(), strict=True)]
+            heads.append(np.stack((np.frombuffer(raw, np.int64, n, base)[mine], np.frombuffer(raw, np.int32, n, base + 8 * n)[mine], np.frombuffer(raw, np.uint32, n, base + 16 * n)[mine])))
         if not texts:
             continue
         doc, at, key = np.concatenate(heads, axis=1)
@@ -174,7 +179,8 @@ def bucket_repeats(blobs: list[bytes], window: int) -> list[np.ndarray]:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFrame:
     """(doc_id, key, spans): the word spans of each document that repeat earlier text, as packed (from, to) pairs.
 
-    docs: (doc_id, text). doc_id is LAST where it is null; key is the hash of the document's words.
+    docs: (doc_id, text). doc_id is LAST where it is null; key is 32 bits of the hash of the
+    document's words, which tells rows apart that share a doc_id.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + total // BUCKET
@@ -234,7 +240,7 @@ def kept_words(text: bytes | None, spans: list | None, words: Words | None = Non
         all_words = (text or b"").split()
         return len(all_words), all_words
     words = Words([text])
-    key = int(text_keys(words, words.hashes())[0])
+    key = int(text_keys(words, words.hashes())[0]) & 0xFFFFFFFF
     keep = np.ones(len(words.starts) + 1, np.int64)
     keep[:] = 0
     for s in spans:
