@@ -224,8 +224,10 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
     model = Model(order, folder, blocks)
     rows = arrowio.map_chunks(docs, count, SCHEMA, FLUSH)
     contexts: list[DataFrame] = []
+    stages: list[DataFrame] = []
     for level in range(order, 0, -1):
         merged = _merge(rows, folder, blocks, order)
+        stages.append(merged)
         sums = merged.where("block < 0").groupBy("kind").agg(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(6))).collect()
         for r in sums:
             n = [r[f"s{k}"] for k in range(6)]
@@ -238,7 +240,10 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
         contexts.append(merged.where(F.col("kind") == CONTEXT + level))
         rows = merged.where(F.col("kind") == level - 1)
     if order > 1:
+        # every level but the first has contexts
         arrowio.drop_stage(_merge(functools.reduce(DataFrame.union, contexts), folder, blocks, order))
+    for staged in stages:
+        arrowio.drop_stage(staged)
     return model
 
 
