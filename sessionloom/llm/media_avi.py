@@ -413,6 +413,8 @@ def cuts(histograms: list[np.ndarray]) -> list[int]:
 
 def clips(frames: list[np.ndarray], rate: float) -> list[tuple[int, int, float, float]]:
     """(first frame, frame after the last, start seconds, end seconds) of each shot."""
+    if not frames:
+        return []
     starts = cuts([histogram(f) for f in frames])
     return [(a, b, a / rate, b / rate) for a, b in zip(starts, [*starts[1:], len(frames)], strict=True)]
 

@@ -38,7 +38,7 @@ BLOCK, ROWS = 1_000_000, 256
 #: Bits of a row's outline, by which pairs are ruled out.
 OUTLINE = 2048
 #: Hash ranges whose frequencies order the columns.
-SLOT_BITS = 20
+SLOT_BITS = 22
 #: A column with more open rows than this is multiplied in tiles of TILE rows instead of pair by pair.
 CROWD, TILE = 32, 1024
 #: Bytes of text that a map task gathers before it ties its rows together.
@@ -79,16 +79,17 @@ def column_weights(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << SLOT_BITS, np.uint32)
         for _, texts in arrowio.chunks(batches):
-            total += np.bincount(_slots(grams(Words(texts, lower=True).hashes(), n)), minlength=len(total)).astype(np.uint32)
+            np.add.at(total, _slots(grams(Words(texts, lower=True).hashes(), n)), 1)
         if total.any():
             squeeze = zstandard.ZstdCompressor(level=1).compress
+            total = np.minimum(total, 65535).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([squeeze(x.tobytes()) for x in np.split(total, parts)], pa.binary())], names=["part", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held = np.frombuffer(zstandard.decompress(blob.as_py()), np.uint32)
+                held = np.frombuffer(zstandard.decompress(blob.as_py()), np.uint16)
                 sums[part] = sums.get(part, 0) + held.astype(np.float64)
         # one byte a slot from here on
         level = [np.minimum(np.log2(1 + x) * 5, 255).astype(np.uint8).tobytes() for x in sums.values()]
@@ -134,7 +135,11 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def block_ties(docs: DataFrame, n: int, percent: int, seed: int, blocks: int, weights) -> DataFrame:
-    """(part, a, b): nodes that share a column of their prefixes, each tied to the column's smallest node in its map task or block."""
+    """(part, a, b, more): nodes that share a column of their prefixes, each tied to the column's smallest node in its map task or block.
+
+    more: whether the column may have other ties, so that nodes tied to one node still have to meet. A key's lowest bit says
+    that its map task has tied rows of the column.
+    """
 
     def deal(ids, texts):
         keys, nodes = [], []
@@ -144,32 +149,39 @@ def block_ties(docs: DataFrame, n: int, percent: int, seed: int, blocks: int, we
                 nodes.append(np.full(len(keys[-1]), _set_hash(s, seed), np.int64))
         if not keys:
             return None
-        keys, nodes, start, first = _stars(np.concatenate(keys), np.concatenate(nodes))
+        keys, nodes, start, first = _stars(np.concatenate(keys) & ~U64(1), np.concatenate(nodes))
         tied = ~start
         rows = [(blocks, np.concatenate((keys[tied].view(np.int64), first[tied], nodes[tied])).tobytes())] if tied.any() else []
+        keys |= np.append(tied[1:], False).astype(U64)
         keys, nodes = keys[start], nodes[start]
-        block = (mix(keys) >> U64(40)) * U64(blocks) >> U64(24)
+        block = (mix(keys >> U64(1)) >> U64(40)) * U64(blocks) >> U64(24)
         order = np.argsort(block, kind="stable")
         keys, nodes, block = keys[order], nodes[order], block[order]
         at = np.searchsorted(block, np.arange(blocks + 1, dtype=U64))
         rows += [(k, np.concatenate((keys[a:b].view(np.int64), nodes[a:b])).tobytes()) for k, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)) if b > a]
         return pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())
 
-    def batch_of(keys, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, a, b)], names=["part", "a", "b"])
+    def batch_of(keys, a, b, more):
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (keys, a, b)), pa.array(more, pa.bool_())], names=["part", "a", "b", "more"])
 
     def tie(parts):
         both = [np.frombuffer(p, np.int64).reshape(2, -1) for p in parts]
-        keys, nodes, start, first = _stars(np.concatenate([x[0] for x in both]).view(U64), np.concatenate([x[1] for x in both]))
+        keys, nodes = np.concatenate([x[0] for x in both]).view(U64), np.concatenate([x[1] for x in both])
+        marked = np.unique(keys[(keys & U64(1)) == 1] & ~U64(1))
+        keys, nodes, start, first = _stars(keys & ~U64(1), nodes)
         tied = ~start
-        return batch_of(keys[tied].view(np.int64), first[tied], nodes[tied])
+        rank = np.arange(len(keys)) - np.maximum.accumulate(np.where(start, np.arange(len(keys)), 0)) if len(keys) else nodes
+        last = np.append(start[1:], True)
+        many = np.isin(keys, keys[(rank > 1) & last]) | np.isin(keys, marked)
+        return batch_of(keys[tied].view(np.int64), first[tied], nodes[tied], many[tied])
 
     def run(batches):
         block, held = None, []
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if k == blocks:
-                    yield batch_of(*np.frombuffer(blob.as_py(), np.int64).reshape(3, -1))
+                    mine = np.frombuffer(blob.as_py(), np.int64).reshape(3, -1)
+                    yield batch_of(*mine, np.ones(mine.shape[1], bool))
                     continue
                 if k != block:
                     if held:
@@ -182,7 +194,7 @@ def block_ties(docs: DataFrame, n: int, percent: int, seed: int, blocks: int, we
     dealt = arrowio.map_chunks(docs, deal, "block int, entries binary", GATHER)
     # what map tasks have tied themselves goes on as it is, dealt evenly
     spread = F.when(F.col("block") == blocks, F.xxhash64("entries")).otherwise(0)
-    return dealt.repartition(max(1, blocks), "block", spread).sortWithinPartitions("block").mapInArrow(run, "part long, a long, b long")
+    return dealt.repartition(max(1, blocks), "block", spread).sortWithinPartitions("block").mapInArrow(run, "part long, a long, b long, more boolean")
 
 
 def outlines(rows: DataFrame, n: int, seed: int) -> DataFrame:
@@ -364,7 +376,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_c
     joined = arrowio.stage(components(links))
     # columns whose nodes are still in several components, and have more nodes than the pair that was tried
     component = lambda col: (joined.select(F.col("node").alias(col), F.col("component").alias(f"{col}_of")), col)
-    seen = ties.join(*component("a"), "left").join(*component("b"), "left").select("part", "a", "b", F.coalesce("a_of", "a").alias("a_of"), F.coalesce("b_of", "b").alias("b_of"))
+    seen = ties.where("more").join(*component("a"), "left").join(*component("b"), "left").select("part", "a", "b", F.coalesce("a_of", "a").alias("a_of"), F.coalesce("b_of", "b").alias("b_of"))
     ties_open = seen.where("a_of <> b_of").select("part").distinct()
     ends = seen.join(ties_open, "part").select("part", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_of").alias("of")), F.struct(F.col("b").alias("node"), F.col("b_of").alias("of")))).alias("x")).select("part", "x.node", "x.of").distinct().join(nodes.select("node", "n"), "node")
     ends = arrowio.stage(ends)
