@@ -55,7 +55,7 @@ def text_keys(words: Words, h: np.ndarray) -> np.ndarray:
 
 
 def super_kmers(words: Words, h: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, last window (by word number) and minimiser of each super-k-mer."""
+    """First window, last window (by word number) and mixed minimiser of each super-k-mer."""
     n = len(h) - window + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
@@ -71,7 +71,8 @@ def super_kmers(words: Words, h: np.ndarray, window: int, m: int) -> tuple[np.nd
     change[1:] = (least[1:n] != least[: n - 1]) | (owner[1:n] != owner[: n - 1]) | ~inside[: n - 1]
     starts = np.flatnonzero(change & inside)
     stops = np.flatnonzero(inside & np.append(change[1:] | ~inside[1:], True))
-    return starts, stops, least[starts]
+    # minima crowd at small hashes; mixed again they spread over the buckets
+    return starts, stops, mix(least[starts])
 
 
 class Outbox:

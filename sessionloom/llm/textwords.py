@@ -35,11 +35,12 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     held = _powers.get(base)
     if held is None or len(held) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         step = np.full(size, base, U64)
         step[0] = 1
         held = np.multiply.accumulate(step)
-        if size <= 1 << 22:
+        # longer ones are made anew: workers keep few megabytes
+        if size <= 1 << 20:
             _powers[base] = held
     return held[:n]
 
