@@ -1,9 +1,10 @@
 """Interpolated modified Kneser-Ney language model: counted in Spark, kept as sorted hash arrays that workers memory-map.
 
 Counting. Map tasks count the n-grams of the highest order in runs of text and send them, as word hashes with counts, to
-blocks by ranges of n-gram hash (so no word, however frequent, makes a block heavy). A block merges them, which makes
-each n-gram distinct, and passes down one continuation for each: the counts of order k - 1 are numbers of distinct
-left neighbours. Sums and numbers of followers of each context are merged in the same way, from partial sums. Every block
+blocks by ranges of their context's hash, so that a block knows all followers of its contexts; n-grams of frequent contexts
+(``HOT_SLOTS`` hash ranges are counted first; a range with over half a block's share is hot) go by their own hash instead and
+their contexts' sums are merged afterwards, so no word makes a block heavy. A block merges its n-grams and passes down one
+continuation for each distinct one: the counts of order k - 1 are numbers of distinct left neighbours. Every block
 writes its sorted hashes and values as two flat files in the shared folder; the driver keeps only totals and discounts.
 
 Scoring. A worker maps the files of the blocks (where the shared folder isn't a mounted path, a copy that it unlinks
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.llm import arrowio
@@ -39,7 +40,8 @@ from sessionloom.llm.textwords import U64, Words, grams, numbers
 BEGIN, END = numbers(2, 99)
 #: Bytes of text a map task counts before it sends; bytes of the training text for each block.
 FLUSH, BLOCK = 8 << 20, 16 << 20
-RAW, CONTEXT = 1000, 100
+RAW, CONTEXT, HOT = 1000, 100, 200
+HOT_SLOTS = 1 << 16
 SCHEMA = "kind int, block int, packed binary, stats array<long>"
 
 
@@ -53,6 +55,8 @@ class Model:
     unigrams: tuple[int, int, int, int] = (0, 0, 0, 0)
     vocabulary: int = 0
     tokens: int = 0
+    #: which hash ranges of contexts are hot
+    hot: bytes = b""
 
 
 def tokens_of(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,9 +97,20 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, U64, k, 40)[index].reshape(n, m), values.reshape(a, b)
 
 
+def _slot(context: np.ndarray) -> np.ndarray:
+    return (context >> U64(8)).astype(np.int64) % HOT_SLOTS
+
+
+def placing(gram: np.ndarray, context: np.ndarray, hot: bytes) -> np.ndarray:
+    """The hash that decides an n-gram's block."""
+    return np.where(np.frombuffer(hot, bool)[_slot(context)], gram, context)
+
+
 def _rows(kind: int, h: np.ndarray, columns: np.ndarray, values: np.ndarray, blocks: int):
-    """(kind, block, packed, None) for columns and values already in order of h."""
+    """(kind, block, packed, None) of columns and values by the hash that decides the block."""
     block = block_of(h, blocks)
+    order = np.argsort(block, kind="stable")
+    block, columns, values = block[order], columns[:, order], values[:, order]
     edges = np.searchsorted(block, np.arange(blocks + 1))
     return [(kind, k, _pack(columns[:, edges[k] : edges[k + 1]], values[:, edges[k] : edges[k + 1]]), None) for k in np.unique(block).tolist()]
 
@@ -149,7 +164,7 @@ def _mapped(folder: str, name: str, kind) -> np.ndarray:
             os.unlink(path)
 
 
-def _merge(rows: DataFrame, folder: str, blocks: int, order: int) -> DataFrame:
+def _merge(rows: DataFrame, folder: str, blocks: int, order: int, hot: bytes) -> DataFrame:
     """Merges each (kind, block): writes its files; passes on continuations, context sums and statistics."""
 
     def finish(kind: int, block: int, blobs: list[bytes]):
@@ -169,7 +184,12 @@ def _merge(rows: DataFrame, folder: str, blocks: int, order: int) -> DataFrame:
                 words = columns[:-1]
                 sums = np.stack((count, count == 1, count == 2, count >= 3))
                 g, _, n = _merged(gram_hashes(words), words, sums)
-                yield from _rows(CONTEXT + kind, g, g[None], n, blocks)
+                # of the highest order a block has all followers of a context that isn't hot
+                part = np.frombuffer(hot, bool)[_slot(g)] if kind == order else np.ones(len(g), bool)
+                if not part.all():
+                    _write(folder, f"{CONTEXT + kind}-{block}", g[~part], n[:, ~part].T.astype(np.uint32))
+                if part.any():
+                    yield from _rows((HOT if kind == order else CONTEXT) + kind, g[part], g[None, part], n[:, part], blocks)
         else:
             h, _, values = _merged(columns[0], columns, values)
             _write(folder, f"{kind}-{block}", h, values.T.astype(np.uint32))
@@ -198,11 +218,30 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), float(k)) for k, d in enumerate(found, 1))
 
 
+def hot_contexts(docs: DataFrame, order: int, blocks: int) -> bytes:
+    """Flags of the hash ranges of contexts that hold over half a block's share of all n-grams."""
+
+    def count(ids, texts):
+        tokens, at = tokens_of(texts, order)
+        n = np.bincount(_slot(grams(tokens, order - 1, 0)), minlength=HOT_SLOTS)
+        slots = np.flatnonzero(n)
+        return pa.array(slots, pa.int32()), pa.array(n[slots], pa.int64())
+
+    flags = np.zeros(HOT_SLOTS, bool)
+    if order > 1:
+        sums = arrowio.map_chunks(docs, count, "slot int, n long", FLUSH).groupBy("slot").agg(F.sum("n").alias("n"))
+        # at most 2 x blocks ranges can be that frequent
+        shares = sums.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())).where(F.col("share") > 0.5 / blocks)
+        flags[[r.slot for r in shares.select("slot").collect()]] = blocks > 1
+    return flags.tobytes()
+
+
 def fit(docs: DataFrame, order: int = 3) -> Model:
     """Learns from every row of (doc_id, text)."""
     folder = f"{arrowio.shared_folder(docs.sparkSession)}/ngrams-{uuid.uuid4().hex}"
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // BLOCK
+    hot = hot_contexts(docs, order, blocks)
 
     def count(ids, texts):
         tokens, at = tokens_of(texts, order)
@@ -214,19 +253,20 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
         where = np.flatnonzero(inside)
         h, first, n = np.unique(g[where], return_index=True, return_counts=True)
         columns = np.stack([tokens[where[first] + k] for k in range(order)])
-        rows = _rows(order, h, columns, n[None], blocks)
+        place = placing(h, grams(tokens, order - 1, 0)[where[first]], hot) if order > 1 else h
+        rows = _rows(order, place, columns, n[None], blocks)
         words, n = np.unique(tokens[where + order - 1], return_counts=True)
         g, words, n = _merged(gram_hashes(words[None]), words[None], n[None])
         rows += _rows(RAW, g, words, n, blocks)
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
         return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
 
-    model = Model(order, folder, blocks)
+    model = Model(order, folder, blocks, hot=hot)
     rows = arrowio.map_chunks(docs, count, SCHEMA, FLUSH)
     contexts: list[DataFrame] = []
     stages: list[DataFrame] = []
     for level in range(order, 0, -1):
-        merged = _merge(rows, folder, blocks, order)
+        merged = _merge(rows, folder, blocks, order, hot)
         stages.append(merged)
         sums = merged.where("block < 0").groupBy("kind").agg(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(6))).collect()
         for r in sums:
@@ -237,11 +277,11 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
                 model.discounts[r.kind] = _discounts(n)
                 if r.kind == 1:
                     model.unigrams = (n[5], n[0], n[1], n[4] - n[0] - n[1])
-        contexts.append(merged.where(F.col("kind") == CONTEXT + level))
+        contexts.append(merged.where(F.col("kind").isin(CONTEXT + level, HOT + level)))
         rows = merged.where(F.col("kind") == level - 1)
     if order > 1:
         # every level but the first has contexts
-        arrowio.drop_stage(_merge(functools.reduce(DataFrame.union, contexts), folder, blocks, order))
+        arrowio.drop_stage(_merge(functools.reduce(DataFrame.union, contexts), folder, blocks, order, hot))
     for staged in stages:
         arrowio.drop_stage(staged)
     return model
@@ -253,13 +293,14 @@ class Arrays:
     def __init__(self, model: Model):
         self.model, self.held = model, {}
 
-    def find(self, kind: int, h: np.ndarray) -> np.ndarray:
-        """Values of the hashes, (number, width); zeros for unknown ones."""
+    def find(self, kind: int, h: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+        """Values of the hashes, (number, width); zeros for unknown ones. place: what decides the block, where it isn't h."""
         width = 4 if CONTEXT <= kind < RAW else 1
-        asked, back = np.unique(h, return_inverse=True)
+        asked, first, back = np.unique(h, return_index=True, return_inverse=True)
+        block = block_of(asked if place is None else place[first], self.model.blocks)
+        order = np.argsort(block, kind="stable")
         out = np.zeros((len(asked), width), np.uint32)
-        block = block_of(asked, self.model.blocks)
-        edges = np.searchsorted(block, np.arange(self.model.blocks + 1))
+        edges = np.searchsorted(block[order], np.arange(self.model.blocks + 1))
         for k in np.unique(block).tolist():
             if (kind, k) not in self.held:
                 try:
@@ -268,10 +309,10 @@ class Arrays:
                     self.held[kind, k] = np.zeros(0, U64), np.zeros((0, width), np.uint32)
             keys, values = self.held[kind, k]
             if len(keys):
-                part = asked[edges[k] : edges[k + 1]]
-                at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-                hit = keys[at] == part
-                out[edges[k] : edges[k + 1]][hit] = values[at[hit]]
+                mine = order[edges[k] : edges[k + 1]]
+                at = np.minimum(np.searchsorted(keys, asked[mine]), len(keys) - 1)
+                hit = keys[at] == asked[mine]
+                out[mine[hit]] = values[at[hit]]
         return out[back]
 
 
@@ -297,8 +338,12 @@ def probabilities(tokens: np.ndarray, where: np.ndarray, model: Model) -> np.nda
         if k not in model.discounts:
             break
         d = model.discounts[k]
-        c = arrays.find(k, grams(tokens, k, 0)[where - k + 1])[:, 0].astype(float)
-        seen = arrays.find(CONTEXT + k, grams(tokens, k - 1, 0)[where - k + 1]).astype(float)
+        gram, context = grams(tokens, k, 0)[where - k + 1], grams(tokens, k - 1, 0)[where - k + 1]
+        top = k == model.order
+        c = arrays.find(k, gram, placing(gram, context, model.hot) if top else None)[:, 0].astype(float)
+        seen = arrays.find(CONTEXT + k, context).astype(float)
+        if top:
+            seen += arrays.find(HOT + k, context)
         total = np.maximum(seen[:, 0], 1)
         p = np.where(seen[:, 0] > 0, _less(c, d) / total + seen[:, 1:] @ np.array(d) / total * p, p)
     return p

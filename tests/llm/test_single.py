@@ -282,7 +282,8 @@ def model_brute(train, test, n):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-def test_language_model(spark, order):
+def test_language_model(spark, order, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "BLOCK", 2000)
     rng = random.Random(9)
     rows = [(k, " ".join(rng.choice("ab Cd e f gh i j k".split()) + rng.choice(["", "", "x", str(rng.randint(0, 30))]) for _ in range(rng.randint(0, 60)))) for k in range(120)] + [(500, None), (501, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
