@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from sessionloom.llm import oracles
 from sessionloom.llm.bpe import op2_byte_bpe
 from sessionloom.llm.embedding_dedup import op10_rp_forest
 from sessionloom.llm.kneser_ney import op6_kneser_ney
@@ -27,4 +28,8 @@ QUERIES: dict[str, Callable] = {
     "op9_url_rules": op9_url_rules,
     "op10_rp_forest": op10_rp_forest,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op10_rp_forest": oracles.NEAR_VECTORS,
+}
