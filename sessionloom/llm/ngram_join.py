@@ -172,7 +172,13 @@ def block_ties(docs: DataFrame, n: int, percent: int, seed: int, blocks: int, we
         tied = ~start
         rank = np.arange(len(keys)) - np.maximum.accumulate(np.where(start, np.arange(len(keys)), 0)) if len(keys) else nodes
         last = np.append(start[1:], True)
-        many = np.isin(keys, keys[(rank > 1) & last]) | np.isin(keys, marked)
+        local = np.isin(keys, marked)
+        many = np.isin(keys, keys[(rank > 1) & last]) | local
+        # columns with the same rows, as a shared passage has many, are one: their hash of rows stands for them
+        at = np.flatnonzero(start)
+        if len(at):
+            rows = np.repeat(mix(np.add.reduceat(mix(nodes.view(U64)), at)), np.diff(np.append(at, len(keys))))
+            keys = np.where(local, keys, np.where(many, rows, U64(0)))
         return batch_of(keys[tied].view(np.int64), first[tied], nodes[tied], many[tied])
 
     def run(batches):
@@ -367,7 +373,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_c
     nodes = arrowio.stage(classes.select("node", "rep", "n"))
     blocks = 1 + (totals["n"] or 0) * (100 - percent) // 100 // BLOCK
     weights = docs.sparkSession.sparkContext.broadcast(column_weights(docs, n))
-    ties = arrowio.stage(block_ties(docs, n, percent, seed, blocks, weights))
+    ties = arrowio.stage(block_ties(docs, n, percent, seed, blocks, weights).distinct())
     tried = arrowio.stage(ties.select("a", "b").distinct())
     involved = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
     rows = arrowio.stage(involved.join(docs, F.col("rep") == F.col("doc_id")).select("node", "text"))
