@@ -39,7 +39,7 @@ from sessionloom.llm.textwords import U64, Words, grams, numbers
 
 BEGIN, END = numbers(2, 99)
 #: Bytes of text a map task counts before it sends; bytes of the training text for each block.
-FLUSH, BLOCK = 8 << 20, 16 << 20
+FLUSH, BLOCK = 10 << 20, 16 << 20
 RAW, CONTEXT, HOT = 1000, 100, 200
 HOT_SLOTS = 1 << 16
 SCHEMA = "kind int, block int, packed binary, stats array<long>"
@@ -84,7 +84,7 @@ def _pack(columns: np.ndarray, values: np.ndarray) -> bytes:
     known, index = np.unique(columns, return_inverse=True)
     index = index.astype(np.uint16 if len(known) < 1 << 16 else np.uint32)
     head = np.array([*columns.shape, len(known), *values.shape], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + known.tobytes() + index.tobytes() + values.astype(np.uint32).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + known.tobytes() + index.tobytes() + values.astype(np.uint32).tobytes())
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:

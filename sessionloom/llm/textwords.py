@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
+SPAN = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -61,12 +62,19 @@ class Words:
         self.first = np.append(np.searchsorted(self.starts, begins), len(self.starts))
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        if not n:
-            return np.zeros(0, U64)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[self.data] * powers(_BASE, n), out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * powers(_INVERSE, n)[self.starts])
+        """One a word, made in runs of words of about SPAN bytes, so that the arrays of 64-bit numbers a byte stay small."""
+        out = np.empty(len(self.starts), U64)
+        w = 0
+        while w < len(out):
+            a = int(self.starts[w])
+            v = max(w + 1, int(np.searchsorted(self.ends, a + SPAN, side="right")))
+            n = int(self.ends[v - 1]) - a
+            total = np.zeros(n + 1, U64)
+            np.cumsum(_BYTE[self.data[a : a + n]] * powers(_BASE, n), out=total[1:])
+            begin, end = self.starts[w:v] - a, self.ends[w:v] - a
+            out[w:v] = mix((total[end] - total[begin]) * powers(_INVERSE, n)[begin])
+            w = v
+        return out
 
     def owner(self) -> np.ndarray:
         """The text of each word."""
