@@ -153,3 +153,37 @@ def test_vectors_edge_cases(spark):
     rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [2.0, 4.0]), (None, [1.0, 2.0]), (5, [float("inf"), 1.0])]
     out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted((r.vec_id or -1, r.n_links, r.component_id or -1) for r in out) == [(-1, 0, -1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (5, 0, 5)]
+
+
+def with_family(n, seed=3):
+    """Unit vectors of which a third are one family of pairwise cosine about 0.93, and the family's rows."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[: n // 3] = x[-1] * 0.93**0.5 + x[: n // 3] * 0.07**0.5
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    order = rng.permutation(n)
+    return x[order], np.flatnonzero(order < n // 3)
+
+
+def test_vectors_of_a_large_family_meet():
+    x, family = with_family(105_000)
+    trees = embedding_dedup.fit(x[:20_000], len(x), embedding_dedup.Forest())
+    lists = [set(found) for found in embedding_dedup.leaves_of(x[family[::5]], trees)]
+    links, met = 0, 0
+    for k in range(0, len(lists), 50):
+        for j in np.flatnonzero(x[family[::5]] @ x[family[5 * k]] >= 0.9).tolist():
+            links += 1
+            met += bool(lists[k] & lists[j])
+    assert met >= 0.999 * links
+
+
+def test_vectors_of_a_family_are_counted_once(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 64)
+    x, _ = with_family(900)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, forest=embedding_dedup.Forest(leaf=64)).collect()}
+    want = vectors_brute(rows)
+    assert all(out[k][0] <= want[k][0] for k in want)
+    assert sum(v[0] for v in out.values()) >= 0.999 * sum(v[0] for v in want.values())
