@@ -1,7 +1,7 @@
 """Secret scanning: fixed patterns plus compression novelty measured by dictionary-primed zstandard.
 
 ``base_spans`` finds the three fixed kinds. ``novel_spans`` looks at every other token-like run of characters that
-stands in a sensitive context (one of ``CONTEXT`` words up to ``REACH`` characters before it on its line): its
+stands in a sensitive context (any of ``CONTEXT`` words ends up to ``REACH`` characters before it on its line): its
 marginal cost is the compressed size of surrounding text plus candidate less that of the surrounding text alone, both
 by a zstandard compressor primed with a dictionary of identifiers and code; a candidate that costs at least
 ``NOVELTY`` of its own bytes and mixes character classes is reported as kind ``novel``. Spans are code points, end
@@ -31,7 +31,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 CONTEXT = ("auth", "bearer", "cred", "key", "passphrase", "passwd", "password", "private", "pwd", "secret", "sig", "token")
 REACH, AROUND = 40, 256
 NOVELTY, SHORTEST = 0.75, 16
-_CONTEXT = re.compile(f"(?:{'|'.join(map(_LETTERS, CONTEXT))})[A-Za-z_-]*[^A-Za-z0-9\n]([^\n]{{0,{REACH}}})")
+_CONTEXT = re.compile(f"(?:{'|'.join(map(_LETTERS, CONTEXT))})[A-Za-z_-]*[^A-Za-z0-9\n](?=([^\n]{{0,{REACH}}}))")
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{SHORTEST},}}")
 
 #: What ordinary code and configuration is made of: text that should cost nothing.
@@ -73,15 +73,17 @@ def novelty(text: str, start: int, end: int) -> float:
 
 def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
+    done = 0
     for line in _CONTEXT.finditer(text):
-        first = _CANDIDATE.search(text, line.start(1), line.end(1) + SHORTEST)
-        if not first:
-            continue
-        start, end = _CANDIDATE.match(text, first.start()).span()
-        value = text[start:end]
-        mixed = sum(any(map(f, value)) for f in (str.islower, str.isupper, str.isdigit)) >= 2
-        if mixed and not any(a < end and start < b for a, b, _ in known) and not (out and out[-1][0] >= start) and novelty(text, start, end) >= NOVELTY:
-            out.append((start, end, "novel"))
+        at = max(done, line.start(1))
+        # a run that starts in reach is judged whole, and once, however many context words reach it
+        while found := _CANDIDATE.search(text, at, line.end(1) + SHORTEST):
+            start, end = _CANDIDATE.match(text, found.start()).span()
+            at = done = end
+            value = text[start:end]
+            mixed = sum(any(map(f, value)) for f in (str.islower, str.isupper, str.isdigit)) >= 2
+            if mixed and not any(a < end and start < b for a, b, _ in known) and novelty(text, start, end) >= NOVELTY:
+                out.append((start, end, "novel"))
     return out
 
 

@@ -143,6 +143,20 @@ def test_secret_novelty_and_redaction(spark, docs):
     assert secrets.digest(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    "line",
+    [
+        "auth /usr/local/lib/node <Zk3pQ9xV7tLmW2sYb8RfUc5H>",
+        "private_key path/to/the/file.pem <Zk3pQ9xV7tLmW2sYb8RfUc5H>",
+        "bearer <Zk3pQ9xV7tLmW2sYb8RfUc5H> <dJ0nGa4TqXe6BvN1oKi7MhPz>",
+        "the key that the whole deployment needs is private, <Zk3pQ9xV7tLmW2sYb8RfUc5H>",
+    ],
+)
+def test_secret_every_candidate_in_reach(line):
+    text = re.sub("[<>]", "", line)
+    assert [text[a:b] for a, b, k in secrets.all_spans(text) if k == "novel"] == re.findall("<(.*?)>", line)
+
+
 # --- packing
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
