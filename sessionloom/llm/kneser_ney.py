@@ -373,7 +373,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return arrowio.map_chunks(docs, kernel, SCORE_SCHEMA, 4 << 20)
 
 
-def op6_kneser_ney(spark, sf_dir: str, order: int = 2) -> DataFrame:
+def op6_kneser_ney(spark, sf_dir: str, order: int = 3) -> DataFrame:
     docs = arrowio.documents(spark, sf_dir)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     model = fit(arrowio.id_text(docs.where(~held_out)), order)

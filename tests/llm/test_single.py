@@ -313,6 +313,17 @@ def test_language_model(spark, order, monkeypatch):
     assert kneser_ney.score(df.limit(0), model).collect() == []
 
 
+def test_language_model_query_has_order_three(spark, tmp_path):
+    import zlib
+
+    rng = random.Random(10)
+    rows = [(k, " ".join(rng.choice("a b c d e".split()) for _ in range(rng.randint(0, 40)))) for k in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want, _ = model_brute([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], [t for _, t in rows], 3)
+    got = {r.doc_id: r.score for r in kneser_ney.op6_kneser_ney(spark, str(tmp_path)).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx([w[3] for w in want], rel=1e-9)
+
+
 def test_folds(spark):
     import zlib
 
