@@ -29,11 +29,10 @@ BLOCK = "=block"
 
 @dataclass(frozen=True)
 class Mining:
-    """Bounds of a mined rule: share of labelled URLs that it holds for, share of its URLs labelled block, tokens at most."""
+    """Bounds of a mined rule: share of labelled URLs that it holds for, share of its URLs labelled block."""
 
     support: float = 0.002
     confidence: float = 0.6
-    most_tokens: int = 4
 
 
 def host_of(url: Column) -> Column:
@@ -81,7 +80,7 @@ def mine(labelled: DataFrame, bounds: Mining = Mining()) -> DataFrame:
     known = labelled.where("blocked is not null")
     baskets = known.select(F.concat(tokens_of(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=bounds.support, minConfidence=bounds.confidence).fit(baskets)
-    rules = model.associationRules.where(F.array_contains("consequent", BLOCK) & (F.size("antecedent") <= bounds.most_tokens))
+    rules = model.associationRules.where(F.array_contains("consequent", BLOCK))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     rules = rules.withColumn("rule_id", F.xxhash64(F.array_join("tokens", " ")))
     # a rule that a subset of its tokens implies as surely adds nothing: found by the subset's tokens, once more an index

@@ -254,6 +254,14 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), none).collect() == []
 
 
+def test_url_rule_of_five_tokens(spark):
+    whole, others = "http://x.org/a/b/1.pdf?k=1", ["http://y.edu/a/b/1.pdf?k=1", "http://x.org/b/1.pdf?k=1", "http://x.org/a/1.pdf?k=1", "http://x.org/a/b/1?k=1", "http://x.org/a/b/1.pdf"]
+    labelled = spark.createDataFrame([(u, u == whole) for u in [whole, *others] for _ in range(20)], "url string, blocked boolean")
+    pages = spark.createDataFrame(list(enumerate([whole, *others])), "page_id long, url string")
+    out = {r.page_id: r.verdict for r in url_rules.judge(pages, labelled).collect()}
+    assert out == {k: "allow" if k else "block" for k in range(6)}
+
+
 # --- language model
 
 
