@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +16,36 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one call of a vectorised kernel gets at once; a single longer text still goes whole.
 CHUNK_BYTES = 1 << 20
+#: Bytes of one Arrow batch between the JVM and Python: each side holds a whole batch, and several while it is copied.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark) -> None:
+    """Bounds this session's Arrow batches by bytes, as a batch of many long texts is large whatever its number of rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) != str(BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(f: Callable) -> Callable:
+    """``f`` over a task's batches; its worker, which outlives the task, then gives back what it no longer uses."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
 
 
 def documents(spark, sf_dir: str, *columns: str) -> DataFrame:
@@ -21,6 +54,7 @@ def documents(spark, sf_dir: str, *columns: str) -> DataFrame:
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, under fixed names; other columns never reach Python."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -47,6 +81,7 @@ def map_chunks(df: DataFrame, kernel: Callable, schema: str, limit: int = CHUNK_
     """mapInArrow over (doc_id, text) rows; ``kernel(ids, texts)`` returns columns of ``schema`` in order, or None."""
     names = [part.split()[0] for part in schema.split(",")]
 
+    @lean
     def run(batches):
         for ids, texts in chunks(batches, limit):
             columns = kernel(ids, texts)
@@ -57,27 +92,57 @@ def map_chunks(df: DataFrame, kernel: Callable, schema: str, limit: int = CHUNK_
 
 
 def shared_folder(spark) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. A local session that names none gets a temporary one."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sessionloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sessionloom-"))
     return context.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def no_shuffles_kept(spark):
+    """What runs inside has its shuffle files removed when it ends: staged rows are read from their files from then on."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet to the shared folder and read again: short lineage, and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # the shuffle files behind these rows are of no more use: the driver's collector tells executors to delete them
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    spark = df.sparkSession
+    small_batches(spark)
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    with no_shuffles_kept(spark):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out
 
 
+def stage_bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """As ``stage``, in buckets by a column: later joins on it read the rows where they lie, without a shuffle."""
+    spark = df.sparkSession
+    small_batches(spark)
+    name = f"stage_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    with no_shuffles_kept(spark):
+        df.write.bucketBy(buckets, column).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._stage_path, out._stage_table = path, name
+    return out
+
+
 def drop_stage(staged: DataFrame) -> None:
     """Deletes a staged table that no later step reads."""
     spark = staged.sparkSession
+    if hasattr(staged, "_stage_table"):
+        spark.sql(f"drop table if exists {staged._stage_table}")
     path = spark._jvm.org.apache.hadoop.fs.Path(staged._stage_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

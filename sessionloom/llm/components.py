@@ -40,6 +40,7 @@ HELD = 500_000
 def thin(links: DataFrame) -> DataFrame:
     """(a, b) links with the same components, fewer of them."""
 
+    @arrowio.lean
     def run(batches):
         sets, n = UnionFind(), 0
 

@@ -188,6 +188,7 @@ def pick(usable: DataFrame, sample: list[tuple[int, np.ndarray]], rows: int, wid
                 return trees[:1]
             held = context.broadcast((trees, q, asked, [set(x) for x in leaves_of(q, trees)]))
 
+            @arrowio.lean
             def judge(batches):
                 trees, q, asked, known = held.value
                 rng = np.random.Generator(np.random.PCG64(1))
@@ -251,6 +252,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, forest: Forest = Fo
     context = vectors.sparkSession.sparkContext
     trees = context.broadcast(pick(usable, clean, usable.count(), width, forest, cosine))
 
+    @arrowio.lean
     def routed(batches):
         """(id, values, unit vector, leaves, families among them) of runs of rows."""
         families = {t << 32 | leaf for t, tree in enumerate(trees.value) for leaf in tree["dense"]}
@@ -262,6 +264,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, forest: Forest = Fo
                     lists = leaves_of(np.array([y for _, _, y in rows]), trees.value)
                     yield [(*r, held, next((x for x in held if x in families), -1)) for r, held in zip(rows, lists, strict=True)]
 
+    @arrowio.lean
     def count(batches):
         n: Counter = Counter()
         for rows in routed(batches):
@@ -273,6 +276,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, forest: Forest = Fo
     sizes = usable.mapInArrow(count, "leaf long, family long, n long").groupBy("leaf", "family").agg(F.sum("n").alias("n")).collect()
     crowded = context.broadcast(tiles_of([tuple(r) for r in sizes]))
 
+    @arrowio.lean
     def deal(batches):
         """A crowded leaf's rows go to each pair of its tiles whose rows haven't met as one earlier family's."""
         for rows in routed(batches):
@@ -301,6 +305,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, forest: Forest = Fo
     def unit(value: bytes) -> np.ndarray:
         return _clean(np.frombuffer(value, np.float32).tolist()) if len(value) == 4 * width else np.frombuffer(value)
 
+    @arrowio.lean
     def link(batches):
         key, held = None, []
         counts: Counter = Counter()

@@ -194,6 +194,7 @@ def _merge(rows: DataFrame, folder: str, blocks: int, order: int, hot: bytes) ->
             h, _, values = _merged(columns[0], columns, values)
             _write(folder, f"{kind}-{block}", h, values.T.astype(np.uint32))
 
+    @arrowio.lean
     def run(batches):
         key, held = None, []
         for batch in batches:

@@ -52,6 +52,7 @@ def _trigrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nda
 def train(rows: DataFrame) -> dict:
     """The model from (lang, text) rows: {"languages": sorted labels, "log": array of languages x SLOTS}."""
 
+    @arrowio.lean
     def count(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -160,6 +161,7 @@ def keep_identified(docs: DataFrame, model: dict, least: float = 0.3) -> DataFra
     names, at = docs.columns, docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @arrowio.lean
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 128):

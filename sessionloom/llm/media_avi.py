@@ -431,6 +431,7 @@ def clip_rows(df: DataFrame, id_col: str = "id", media_col: str = "media") -> Da
     """
     schema = "id long, clip int, first_frame int, end_frame int, start_s double, end_s double, error string"
 
+    @arrowio.lean
     def run(batches):
         for batch in batches:
             rows = []

@@ -10,14 +10,16 @@ document's set size and the smallest document it reaches by links.
    ties its own rows of a column together and sends one of them on, so a column held by a third of all documents costs a
    reducer one entry a map task; and such columns come last in the order, so they are hardly ever dealt at all.
 3. *Products.* Within a block each row is multiplied with the row of the block's first node: overlap counts, after pairs
-   have been discarded whose sizes, or parity outlines of 2048 bits, rule the bound out. Rows are read again for these
-   nodes alone; a first node with very many rows is split into several products.
+   have been discarded whose sizes, or parity outlines of 2048 bits, rule the bound out. The texts of nodes that have a
+   tie are shuffled once, into buckets that all products read; a first node with very many rows is split into several
+   products.
 4. *The rest of a column.* Links join nodes to components. Where a column still spans several components, all its pairs
    between different components that the sizes allow are multiplied, too: pair by pair, or for crowded columns tile by tile inside a task. Pairs inside a component cannot change it and are left out: this keeps
    a group of thousands of near copies linear without losing a link between components.
 
 Null text or text without words: an empty set, linked with nothing, its own component. Fewer words than n: the whole
-sequence is the one n-gram. Repeated rows share a class. A null doc_id takes no part in minima. An empty table gives none.
+sequence is the one n-gram. Repeated rows share a class. Rows of null doc_id link as any other, but a component's id is its
+smallest doc_id that isn't null (null where it has none). An empty table gives none.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ SLOT_BITS = 22
 CROWD, TILE = 32, 1024
 #: Bytes of text that a map task gathers before it ties its rows together.
 GATHER = 4 << 20
+#: n-grams of all distinct sets for each bucket of texts.
+BUCKET = 8_000_000
 
 
 def ngram_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
@@ -76,6 +80,7 @@ def column_weights(docs: DataFrame, n: int) -> np.ndarray:
     """
     parts = 64
 
+    @arrowio.lean
     def count(batches):
         total = np.zeros(1 << SLOT_BITS, np.uint32)
         for _, texts in arrowio.chunks(batches):
@@ -85,6 +90,7 @@ def column_weights(docs: DataFrame, n: int) -> np.ndarray:
             total = np.minimum(total, 65535).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([squeeze(x.tobytes()) for x in np.split(total, parts)], pa.binary())], names=["part", "counts"])
 
+    @arrowio.lean
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -112,15 +118,24 @@ def prefix(s: np.ndarray, weights: np.ndarray, percent: int) -> np.ndarray:
     return key if length >= n else np.partition(key, length)[:length]
 
 
+def outline_of(s: np.ndarray) -> bytes:
+    """OUTLINE bits, each the parity of the set's n-grams that fall on it: sets that differ in d n-grams differ in d bits at most."""
+    bits = np.bincount((s >> U64(20)).astype(np.int64) % OUTLINE, minlength=OUTLINE).astype(np.uint8) & 1
+    return np.packbits(bits).tobytes()
+
+
 def sets_of(docs: DataFrame, n: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, node, second: set sizes and hashes; node is null for an empty set."""
+    """doc_id, key, n_shingles, node, second, outline: set sizes, hashes and outlines; the last three are null for an empty set."""
 
     def kernel(ids, texts):
         found = ngram_sets(texts, n)
-        node = [_set_hash(s, seed) if len(s) else None for s in found]
-        return pa.array(ids, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(node, pa.int64()), pa.array([_set_hash(s, seed + 1) for s in found], pa.int64())
+        hashes = [[_set_hash(s, seed + k) if len(s) else None for s in found] for k in (0, 1)]
+        kept = [outline_of(s) if len(s) else None for s in found]
+        columns = ([i["doc_id"] for i in ids], [i["key"] for i in ids], list(map(len, found)), *hashes)
+        return *(pa.array(c, pa.int64()) for c in columns), pa.array(kept, pa.binary())
 
-    return arrowio.map_chunks(docs, kernel, "doc_id long, n_shingles long, node long, second long")
+    both = docs.select(F.struct("doc_id", "key").alias("id"), "text")
+    return arrowio.map_chunks(both, kernel, "doc_id long, key long, n_shingles long, node long, second long, outline binary")
 
 
 def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,6 +196,7 @@ def block_ties(docs: DataFrame, n: int, percent: int, seed: int, blocks: int, we
             keys = np.where(local, keys, np.where(many, rows, U64(0)))
         return batch_of(keys[tied].view(np.int64), first[tied], nodes[tied], many[tied])
 
+    @arrowio.lean
     def run(batches):
         block, held = None, []
         for batch in batches:
@@ -203,31 +219,13 @@ def block_ties(docs: DataFrame, n: int, percent: int, seed: int, blocks: int, we
     return dealt.repartition(max(1, blocks), "block", spread).sortWithinPartitions("block").mapInArrow(run, "part long, a long, b long, more boolean")
 
 
-def outlines(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """(node, size, outline): OUTLINE bits a row, each the parity of the set's n-grams that fall on it.
-
-    Sets that differ in d n-grams differ in d bits at most, whatever their sizes.
-    """
-
-    def run(batches):
-        for nodes, texts in arrowio.chunks(batches):
-            out = []
-            for node, s in zip(nodes, ngram_sets(texts, n), strict=True):
-                if _set_hash(s, seed) == node:
-                    bits = np.bincount((s >> U64(20)).astype(np.int64) % OUTLINE, minlength=OUTLINE).astype(np.uint8) & 1
-                    out.append((node, len(s), np.packbits(bits).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "size", "outline"])
-
-    return rows.select("node", "text").mapInArrow(run, "node long, size long, outline binary").dropDuplicates(["node"])
-
-
 def possible(pairs: DataFrame, outline: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs that sizes and outlines don't rule out."""
     one = outline.select(F.col("node").alias("a"), F.col("size").alias("a_n"), F.col("outline").alias("a_x"))
     two = outline.select(F.col("node").alias("b"), F.col("size").alias("b_n"), F.col("outline").alias("b_x"))
     near = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
 
+    @arrowio.lean
     def run(batches):
         for batch in batches:
             if batch.num_rows:
@@ -240,13 +238,19 @@ def possible(pairs: DataFrame, outline: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(near).select("a", "b", "a_n", "a_x", "b_n", "b_x").mapInArrow(run, "a long, b long")
 
 
-def products(pairs: DataFrame, rows: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
-    """(a, b) pairs that link. rows: (node, text) of every node in them; texts of another set than the node's are passed over."""
+def with_texts(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows, that have a node, with its text: found by the node's key, in whose buckets the texts lie."""
+    keys = nodes.select(F.col("node").alias("__node"), "key")
+    return rows.join(keys, F.col("node") == F.col("__node")).join(texts, "key").select(*rows.columns, "text")
+
+
+def products(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
+    """(a, b) pairs that link; texts of another set than the node's are passed over."""
     rest = F.pmod(F.xxhash64("b"), F.col("splits"))
     split = pairs.groupBy("a").agg(F.ceil(F.count("*") / ROWS).alias("splits"))
     dealt = pairs.join(split, "a").select("a", rest.alias("s"), F.col("b").alias("node"))
     firsts = split.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("s"), F.col("a").alias("node"))
-    wanted = dealt.union(firsts).join(rows, "node").select("a", "s", "node", "text")
+    wanted = with_texts(dealt.union(firsts), nodes, texts)
 
     def product(group):
         sets = ngram_sets([t for _, t in group], n)
@@ -268,6 +272,7 @@ def products(pairs: DataFrame, rows: DataFrame, n: int, percent: int, seed: int)
     class Group(list):
         a: int
 
+    @arrowio.lean
     def run(batches):
         key, group, out = None, Group(), []
 
@@ -292,7 +297,7 @@ def products(pairs: DataFrame, rows: DataFrame, n: int, percent: int, seed: int)
     return wanted.repartition("a", "s").sortWithinPartitions("a", "s").mapInArrow(run, "a long, b long")
 
 
-def family_products(members: DataFrame, rows: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
+def family_products(members: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     """(a, b) links between members (node, family, of) of one family but different ``of``, enough to join what links join.
 
     A family's rows are cut into tiles; every two tiles are multiplied by blocks of columns in a task of their own.
@@ -337,6 +342,7 @@ def family_products(members: DataFrame, rows: DataFrame, n: int, percent: int, s
         # one link between two components is enough
         return [(held[a[p]][1], held[b[q]][1]) for p, q in zip(i.tolist(), j.tolist(), strict=True) if joined.union(int(of[a[p]]), int(of[b[q]]))]
 
+    @arrowio.lean
     def run(batches):
         key, held, out = None, [], []
 
@@ -355,37 +361,49 @@ def family_products(members: DataFrame, rows: DataFrame, n: int, percent: int, s
             out += product(*key[1:], held)
         yield batch_of()
 
-    wanted = dealt.join(rows, "node").select("family", "first", "second", "tile", "node", "of", "text")
+    wanted = with_texts(dealt, nodes, texts)
     return wanted.repartition("family", "first", "second").sortWithinPartitions("family", "first", "second").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    spark = docs.sparkSession
     docs = arrowio.id_text(docs, id_col, text_col)
+    # where a row's text is found again; rows without an id go by a hash of their text
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
     seed = 1
     while True:
         sized = arrowio.stage(sets_of(docs, n, seed))
-        classes = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min("second").alias("x"), F.max("second").alias("y"))
+        least = (F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.max("n_shingles").alias("n"))
+        classes = sized.where("node is not null").groupBy("node").agg(*least, F.min("second").alias("x"), F.max("second").alias("y"))
         totals = classes.agg(F.sum("n").alias("n"), F.sum((F.col("x") != F.col("y")).cast("long")).alias("clashes")).first()
         if not totals["clashes"]:
             break
+        arrowio.drop_stage(sized)
         seed += 2
-    nodes = arrowio.stage(classes.select("node", "rep", "n"))
+    nodes = arrowio.stage(classes.select("node", "rep", "key", "n"))
     blocks = 1 + (totals["n"] or 0) * (100 - percent) // 100 // BLOCK
-    weights = docs.sparkSession.sparkContext.broadcast(column_weights(docs, n))
+    weights = spark.sparkContext.broadcast(column_weights(docs, n))
     ties = arrowio.stage(block_ties(docs, n, percent, seed, blocks, weights).distinct())
     tried = arrowio.stage(ties.select("a", "b").distinct())
-    involved = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    rows = arrowio.stage(involved.join(docs, F.col("rep") == F.col("doc_id")).select("node", "text"))
-    outline = arrowio.stage(outlines(rows, n, seed))
-    links = arrowio.stage(products(arrowio.stage(possible(tried, outline, percent)), rows, n, percent, seed))
+    involved = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
+    outline = arrowio.stage(sized.join(involved, ["node", "key"]).select("node", F.col("n_shingles").alias("size"), "outline").dropDuplicates(["node"]))
+    likely = arrowio.stage(possible(tried, outline, percent))
+    # the texts of nodes that have a tie, shuffled once
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (totals["n"] or 0) // BUCKET)
+    texts = docs.select("key", "text").repartition(buckets, "key").join(involved.select("key").distinct(), "key", "left_semi")
+    texts = arrowio.stage_bucketed(texts, "key", buckets)
+    links = arrowio.stage(products(likely, nodes, texts, n, percent, seed))
+    arrowio.drop_stage(likely)
     joined = arrowio.stage(components(links))
     # columns whose nodes are still in several components, and have more nodes than the pair that was tried
     component = lambda col: (joined.select(F.col("node").alias(col), F.col("component").alias(f"{col}_of")), col)
     seen = ties.where("more").join(*component("a"), "left").join(*component("b"), "left").select("part", "a", "b", F.coalesce("a_of", "a").alias("a_of"), F.coalesce("b_of", "b").alias("b_of"))
     ties_open = seen.where("a_of <> b_of").select("part").distinct()
-    ends = seen.join(ties_open, "part").select("part", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_of").alias("of")), F.struct(F.col("b").alias("node"), F.col("b_of").alias("of")))).alias("x")).select("part", "x.node", "x.of").distinct().join(nodes.select("node", "n"), "node")
-    ends = arrowio.stage(ends)
+    both = F.array(*(F.struct(F.col(c).alias("node"), F.col(f"{c}_of").alias("of")) for c in "ab"))
+    ends = seen.join(ties_open, "part").select("part", F.explode(both).alias("x")).select("part", "x.node", "x.of").distinct()
+    ends = arrowio.stage(ends.join(nodes.select("node", "n"), "node"))
+    arrowio.drop_stage(ties)
     crowded = ends.groupBy("part").agg(F.count("*").alias("m"), F.min("node").alias("a")).where(F.col("m") > CROWD).select("part", "a")
     few = ends.join(crowded, "part", "left_anti")
     left = few.select("part", F.col("node").alias("a"), F.col("of").alias("a_of"), F.col("n").alias("a_n"))
@@ -394,14 +412,15 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_c
     open_pairs = left.join(right, "part").where(near).select("a", "b").distinct()
     families = components(ends.join(crowded, "part").select("a", F.col("node").alias("b")))
     members = families.join(ends.select("node", "of").distinct(), "node").select("node", F.col("component").alias("family"), "of")
-    crossed = family_products(members, rows, n, percent, seed)
     untried = open_pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     untried = arrowio.stage(possible(untried, outline, percent))
-    more = arrowio.stage(products(untried, rows, n, percent, seed).union(crossed))
+    more = products(untried, nodes, texts, n, percent, seed).union(family_products(members, nodes, texts, n, percent, seed))
+    more = arrowio.stage(more)
+    for staged in (tried, outline, ends, untried, texts):
+        arrowio.drop_stage(staged)
     if not more.isEmpty():
         joined = arrowio.stage(components(links.union(more)))
-    reached = joined.join(nodes.select("node", "rep"), "node")
-    least = reached.groupBy("component").agg(F.min("rep").alias("least"))
+    least = joined.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     of_node = joined.join(least, "component").select("node", "least")
     final = nodes.join(of_node, "node", "left").select("node", F.coalesce("least", "rep").alias("least"))
     return sized.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

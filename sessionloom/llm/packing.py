@@ -245,6 +245,7 @@ def pack(made_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     columns = kept.columns
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, sequence_id long, offset long"
 
+    @arrowio.lean
     def place(batches):
         for batch in batches:
             ids, offsets = [], []

@@ -132,6 +132,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with every span of the text replaced by ``<secret>``; null text stays null."""
     names, at = docs.columns, docs.columns.index(text_col)
 
+    @arrowio.lean
     def run(batches):
         for batch in batches:
             out = []

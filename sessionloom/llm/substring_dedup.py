@@ -186,6 +186,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFra
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + total // BUCKET
 
+    @arrowio.lean
     def send(batches):
         box = Outbox(buckets)
         for ids, texts in arrowio.chunks(batches):
@@ -208,6 +209,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFra
         packed = [both[x:y].tobytes() for x, y in zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(key[at], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "key", "spans"])
 
+    @arrowio.lean
     def count(batches):
         bucket, held = None, []
         for batch in batches:
@@ -265,6 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = _with_spans(marked, window, m).select(*renamed.columns, "__spans")
     at, plain = names.index(text_col), renamed.columns
 
+    @arrowio.lean
     def run(batches):
         for batch in batches:
             texts = []
@@ -284,6 +287,7 @@ def digest(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFrame:
     read = arrowio.id_text(docs)
     joined = _with_spans(_marked(read.toDF("n", "t"), "n", "t"), window, m).select("__id", "__text", "__spans")
 
+    @arrowio.lean
     def run(batches):
         for batch in batches:
             rows = []
