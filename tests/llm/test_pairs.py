@@ -63,6 +63,15 @@ def test_ngram_join_edge_cases(spark):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in out) == [(-1, 1, -1), (1, 27, 1), (1, 27, 1), (2, 27, 1)]
 
 
+@pytest.mark.parametrize("middle", [None, 2])
+def test_ngram_join_links_through_rows_without_an_id(spark, middle):
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join(base), " ".join([*base[:-5], *"abcde"]), " ".join([*base[:-9], *"wxyzabcde"])]
+    rows = [(1, texts[0]), (middle, texts[1]), (3, texts[2]), (None, "p q r s t u"), (None, "")]
+    out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in out) == sorted([(1, 97, 1), (middle or 0, 97, 1), (3, 97, 1), (0, 3, 0), (0, 0, 0)])
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 5)]
