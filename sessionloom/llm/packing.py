@@ -4,13 +4,16 @@ Every document's ids, an end id after them, are cut into pieces of at most ``cap
 are cut. The histogram of piece lengths (at most ``capacity`` counts, whatever the corpus holds) goes to the driver.
 There the configuration program (cover each length's count by full-sequence patterns, as few as can be) is solved by
 multiplicative weights: a length's price starts from its size and falls exponentially with the share of its pieces
-already covered; a knapsack dynamic program prices the best pattern, which is used a whole number of times, so each
-step is rounded down as it is made. What the rounds leave over, and the gaps of their patterns, go to best fit
-decreasing over groups of equal sequences. All work on the driver is bounded by lengths and patterns, not documents.
+already covered; a bounded knapsack dynamic program, over lengths drawn in proportion to the tokens and weights that they
+have left, prices the best pattern, which is used as often as its rarest length allows: whole multiplicities, so each step is
+rounded down as it is made. What is left of it (``TAIL`` of all tokens), and the gaps of the patterns, go to best fit decreasing over
+groups of equal sequences. ``lower_bound`` has the dual side. All work on the driver is bounded by lengths and patterns, not documents.
 
 Pieces then find their places without a global sort: a piece's rank among the pieces of its length is the offset of
-its (length, salt) cell plus its number in the cell, where the number of salts grows with the most frequent length; the
-plan turns (length, rank) into sequence and offset.
+its (length, salt) cell plus its number in the cell, where a length has as many salts as its count asks for; the plan turns
+(length, rank) into sequence and offset.
+
+``pieces`` takes tokenizers that lower-case letters and split at white space first, as the one of the query: words are coded once.
 
 Null text counts as empty: the end id alone. Repeated rows are packed once each. An empty table packs to no rows.
 """
@@ -31,9 +34,11 @@ from pyspark.sql import functions as F
 from sessionloom.llm import arrowio
 
 CAPACITY, END_ID, CACHE = 4096, 1, 500_000
-ROUNDS, RATE, LARGE = 600, 2.0, 0.2
+#: How fast a length's price falls as its pieces are covered, the extra price of large ones, how much more lagging lengths
+#: are drawn for a pricing, how many it looks at, and the share of all tokens that the program leaves to best fit.
+RATE, LARGE, DRAW, PRICED, TAIL = 0.01, 0.002, 2.0, 96, 0.03
 #: Pieces of one length that one task numbers.
-CELL = 50_000
+CELL = 1_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -119,48 +124,72 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return arrowio.map_chunks(arrowio.id_text(docs), kernel, PIECE_SCHEMA)
 
 
-def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of highest total price that fits: {length: times}."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        n = upto[room]
-        if n:
-            value = best[room - lengths[:n]] + prices[:n]
-            k = int(value.argmax())
-            if value[k] > best[room]:
-                best[room], choice[room] = value[k], k
+def _knapsack(lengths: list[int], prices: list[float], bounds: list[int], capacity: int) -> dict[int, int]:
+    """The multiset of lengths of highest total price that fits, none more often than its bound: {length: times}."""
+    best, steps = np.zeros(capacity + 1), []
+    for n, price, bound in zip(lengths, prices, bounds, strict=True):
+        bound, times = min(bound, capacity // n), 1
+        while bound:
+            times = min(times, bound)
+            size = n * times
+            value = best[:-size] + price * times
+            taken = value > best[size:]
+            np.copyto(best[size:], value, where=taken)
+            steps.append((n, times, size, taken))
+            bound -= times
+            times *= 2
     out: dict[int, int] = defaultdict(int)
     room = capacity
-    while room:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            length = int(lengths[choice[room]])
-            out[length] += 1
-            room -= length
+    for n, times, size, taken in reversed(steps):
+        if room >= size and taken[room - size]:
+            out[n] += times
+            room -= size
     return dict(out)
 
 
+def _size_prices(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    share = lengths / capacity
+    return share * (1 + LARGE * share)
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """No packing has fewer sequences: the largest of the tokens' bound, the number of pieces of over half a sequence, and
+    the dual value of the program's starting prices."""
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[n] for n in lengths.tolist()])
+    prices = _size_prices(lengths, capacity)
+    place = {n: k for k, n in enumerate(lengths.tolist())}
+    priced = sum(prices[place[n]] * k for n, k in _knapsack(lengths.tolist(), prices.tolist(), counts.tolist(), capacity).items())
+    halves = int(counts[2 * lengths > capacity].sum())
+    return max(-(-int(lengths @ counts) // capacity), halves, int(np.ceil(prices @ counts / priced - 1e-9)) if len(lengths) else 0)
+
+
 def configuration_rounds(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
-    """Patterns with their whole multiplicities by multiplicative weights, and the counts that they leave over."""
-    left, patterns = dict(histogram), []
-    log_price = {n: 0.0 for n in histogram}
-    for _ in range(min(ROUNDS, 4 * len(histogram))):
-        lengths = np.array(sorted(n for n, c in left.items() if c), np.int64)
-        if not len(lengths):
-            break
-        share = lengths / capacity
-        prices = share * (1 + LARGE * share) * np.exp([log_price[n] for n in lengths.tolist()])
-        chosen = _knapsack(lengths, prices, capacity)
-        chosen = {n: min(k, left[n]) for n, k in chosen.items()}
-        times = max(1, min(left[n] // k for n, k in chosen.items()) // 2)
-        patterns.append((times, tuple(sorted((n for n, k in chosen.items() for _ in range(k)), reverse=True))))
-        for n, k in chosen.items():
-            left[n] -= k * times
-            log_price[n] -= RATE * k * times / histogram[n]
-    return patterns, {n: c for n, c in left.items() if c}
+    """Patterns with their whole multiplicities by multiplicative weights, and the counts that they leave over.
+
+    A pattern's multiplicity is what the rarest of its lengths still allows, so each round is whole and uses up a length.
+    """
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
+    place = {n: k for k, n in enumerate(lengths.tolist())}
+    base, left, patterns = _size_prices(lengths, capacity), counts.copy(), []
+    noise = np.random.default_rng(1)
+    rest = TAIL * int(lengths @ counts)
+    while int(lengths @ left) > rest:
+        open_ = np.flatnonzero(left)
+        # a length's price falls by a factor with each share of its pieces that is covered
+        share_left = left[open_] / counts[open_]
+        if len(open_) > PRICED:
+            drawn = np.log(lengths[open_] * left[open_]) + DRAW * share_left + noise.gumbel(size=len(open_))
+            some = np.argpartition(-drawn, PRICED)[:PRICED]
+            open_, share_left = open_[some], share_left[some]
+        prices = base[open_] * np.exp(RATE * share_left)
+        chosen = _knapsack(lengths[open_].tolist(), prices.tolist(), left[open_].tolist(), capacity)
+        places, times = [place[n] for n in chosen], list(chosen.values())
+        used = min(int(left[k]) // m for k, m in zip(places, times, strict=True))
+        patterns.append((used, tuple(n for n in sorted(chosen, reverse=True) for _ in range(chosen[n]))))
+        left[places] -= used * np.array(times)
+    return patterns, {n: c for n, c in zip(lengths.tolist(), left.tolist(), strict=True) if c}
 
 
 def best_fit(patterns: list[tuple[int, tuple[int, ...]]], left: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -206,7 +235,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     """(number of sequences, lengths in order) for all pieces of the histogram."""
     full = {n: c for n, c in histogram.items() if n == capacity}
     rest = {n: c for n, c in histogram.items() if 0 < n < capacity}
-    made = best_fit(*configuration_rounds(rest, capacity), capacity) if rest else []
+    # both roundings of the program: of its patterns, and of none of them
+    made = min((best_fit(*configuration_rounds(rest, capacity), capacity), best_fit([], rest, capacity)), key=lambda m: sum(c for c, _ in m))
     return [(c, (n,)) for n, c in full.items()] + made
 
 
@@ -235,13 +265,14 @@ def pack(made_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     kept = arrowio.stage(made_pieces)
     histogram = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = _places(plan(histogram, capacity))
-    salts = 1 + max(histogram.values(), default=0) // CELL
-    salted = kept.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    cells = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select("length", "salt", before.alias("before"))
-    number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("number", number).join(cells, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("number"))
+    # a row for each length: at most ``capacity`` of them
+    salts = kept.sparkSession.createDataFrame([(n, 1 + c // CELL) for n, c in histogram.items()], "length long, __salts long")
+    salted = kept.join(F.broadcast(salts), "length").withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("__salts")))
+    cells = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select("length", "__salt", before.alias("__before"))
+    number = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")) - 1
+    ranked = salted.withColumn("__number", number).join(cells, ["length", "__salt"]).withColumn("__rank", F.col("__before") + F.col("__number"))
     columns = kept.columns
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, sequence_id long, offset long"
 
@@ -258,7 +289,7 @@ def pack(made_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 offsets.append(slots[slot])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], names=[*columns, "sequence_id", "offset"])
 
-    return ranked.select(*columns, "rank").mapInArrow(place, schema)
+    return ranked.select(*columns, "__rank").mapInArrow(place, schema)
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
 import struct
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -186,6 +188,68 @@ def test_packing_plan_is_tight():
     assert packing.plan({}) == []
 
 
+def _histogram(kind):
+    rng = random.Random(8)
+    if kind == "sparse":
+        return {n: rng.randint(1, 3) for n in rng.sample(range(1, 4096), 300)}
+    if kind == "large":
+        return {n: 3 for n in range(1500, 4000, 7)}
+    counts = collections.Counter()
+    for _ in range(300 if kind == "planted" else 150):
+        cuts = [0, *sorted(rng.sample(range(1, 4096), rng.randint(1, 3))), 4096]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            counts[b - a] += 7500 if kind == "planted" else 1
+    return dict(counts)
+
+
+@pytest.mark.parametrize("kind", ["sparse", "large", "planted", "planted once"])
+def test_packing_is_never_worse_than_best_fit(kind):
+    histogram = _histogram(kind)
+    made, plain = packing.plan(dict(histogram)), packing.best_fit([], dict(histogram), 4096)
+    sequences, bound = (sum(c for c, _ in m) for m in (made, plain))
+    assert packing.lower_bound(histogram, 4096) <= sequences <= bound
+    assert sequences <= math.ceil(sum(n * c for n, c in histogram.items()) / 4096) * 1.001 + 1 or kind in ("sparse", "large")
+    used = collections.Counter()
+    for count, lengths in made:
+        assert sum(lengths) <= 4096
+        for n in lengths:
+            used[n] += count
+    assert used == histogram
+
+
+def test_packing_program_covers_all_but_a_tail():
+    histogram = _histogram("planted")
+    patterns, left = packing.configuration_rounds(histogram, 4096)
+    assert sum(n * c for n, c in left.items()) <= packing.TAIL * sum(n * c for n, c in histogram.items())
+    assert all(sum(lengths) <= 4096 for _, lengths in patterns)
+
+
+def test_knapsack_is_bounded_and_best():
+    rng = random.Random(9)
+    for _ in range(20):
+        items = [(rng.randint(1, 12), rng.random(), rng.randint(1, 3)) for _ in range(5)]
+        lengths, prices, bounds = (list(x) for x in zip(*{n: (n, p, b) for n, p, b in items}.values(), strict=True))
+        best = max(sum(p * k for p, k in zip(prices, ks, strict=True)) for ks in itertools.product(*(range(b + 1) for b in bounds)) if sum(n * k for n, k in zip(lengths, ks, strict=True)) <= 20)
+        found = packing._knapsack(lengths, prices, bounds, 20)
+        assert sum(n * k for n, k in found.items()) <= 20 and all(found[n] <= bounds[lengths.index(n)] for n in found)
+        assert abs(sum(prices[lengths.index(n)] * k for n, k in found.items()) - best) < 1e-9
+
+
+def test_packing_keeps_the_rows_columns(spark, docs):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(WORDS)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    made = packing.pieces(docs, WORDS, 64)
+    for r in made.collect():
+        ids = [*lib.encode(texts[r.doc_id], add_special_tokens=False).ids, 1][r.start : r.start + r.length]
+        assert r.start == 64 * r.piece and zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32 and len(ids) == r.length
+    named = made.withColumns({c: F.lit(c) for c in ("salt", "rank", "number", "before", "n")})
+    packed = packing.pack(named, 64)
+    assert packed.columns == [*named.columns, "sequence_id", "offset"]
+    assert {(r.salt, r["rank"], r.number, r.before, r.n) for r in packed.collect()} == {("salt", "rank", "number", "before", "n")}
+
+
 def test_packing_rows(spark, docs, monkeypatch):
     monkeypatch.setattr(packing, "CELL", 2)
     rows = packing.pack(packing.pieces(docs, WORDS, 512), 512).collect()
