@@ -5,7 +5,8 @@ blocks by ranges of their context's hash, so that a block knows all followers of
 (``HOT_SLOTS`` hash ranges are counted first; a range with over half a block's share is hot) go by their own hash instead and
 their contexts' sums are merged afterwards, so no word makes a block heavy. A block merges its n-grams and passes down one
 continuation for each distinct one: the counts of order k - 1 are numbers of distinct left neighbours. Every block
-writes its sorted hashes and values as two flat files in the shared folder; the driver keeps only totals and discounts.
+writes its sorted hashes and values as one flat file in the shared folder; the driver keeps only totals and discounts. The
+blocks are worked through in ``PASSES`` rounds, so that the rows on their way to them never lie on disk all at once.
 
 Scoring. A worker maps the files of the blocks (where the shared folder isn't a mounted path, a copy that it unlinks
 at once) and looks up the sorted hashes of a run of text by binary search. The probability of a word is
@@ -14,8 +15,8 @@ to unigrams by continuation counts and 1 / (V + 1) for every word, known or not.
 3 or more, from the numbers of n-grams that occur one to four times.
 
 Texts are lower-cased (A-Z), words are runs outside 0x20 and 0x09-0x0D, an end token follows each text and order - 1 begin
-tokens precede it as context. Hashes have 64 bits: at a billion distinct n-grams of an order about one pair in thirty tables
-clashes, which shifts two probabilities. Null text counts as empty (its end token is scored and learnt). Repeated rows
+tokens precede it as context. Hashes have 64 bits, of which a file keeps 40 and the leading ones of its index: an n-gram that never
+occurred is taken for another one about once in 10^10 times, whatever the number of blocks. Null text counts as empty (its end token is scored and learnt). Repeated rows
 count as often as they occur. Without training rows every token gets the uniform floor. An empty table gives no rows.
 """
 
@@ -35,11 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.llm import arrowio
-from sessionloom.llm.textwords import U64, Words, grams, numbers
+from sessionloom.llm.textwords import U64, Words, grams, mix, numbers
 
 BEGIN, END = numbers(2, 99)
 #: Bytes of text a map task counts before it sends; bytes of the training text for each block.
 FLUSH, BLOCK = 10 << 20, 16 << 20
+#: Rounds in which blocks are counted: each reads the text once and has this share of the n-grams on disk.
+PASSES = 4
 RAW, CONTEXT, HOT = 1000, 100, 200
 HOT_SLOTS = 1 << 16
 SCHEMA = "kind int, block int, packed binary, stats array<long>"
@@ -76,7 +79,8 @@ def gram_hashes(columns: np.ndarray) -> np.ndarray:
 
 
 def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
-    return ((h >> U64(40)) * U64(blocks) >> U64(24)).astype(np.int64)
+    """By other bits than those that order a block's hashes."""
+    return ((mix(h + U64(1)) >> U64(32)) * U64(blocks) >> U64(32)).astype(np.int64)
 
 
 def _pack(columns: np.ndarray, values: np.ndarray) -> bytes:
@@ -135,33 +139,104 @@ def _local(folder: str) -> str | None:
     return folder.removeprefix("file://").removeprefix("file:") if folder.startswith(("file:", "/")) else None
 
 
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a byte for each row of values, the rows that bytes below 255 stand for, where the others are)."""
+    width = values.shape[1]
+    short = np.flatnonzero((values < 1 << 16).all(1))
+    packed = (values[short].astype(U64) << (np.arange(width, dtype=U64) * U64(16))).sum(1, dtype=U64)
+    known, back, times = np.unique(packed, return_inverse=True, return_counts=True)
+    common = np.argsort(-times, kind="stable")[:255]
+    code = np.full(len(known), 255, np.uint8)
+    code[common] = np.arange(len(common))
+    codes = np.full(len(values), 255, np.uint8)
+    codes[short] = code[back]
+    table = (known[common][:, None] >> (np.arange(width, dtype=U64) * U64(16)) & U64(0xFFFF)).astype(np.uint32)
+    return codes, table, np.flatnonzero(codes == 255)
+
+
 def _write(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> None:
-    """Two flat files, each complete or absent: a repeated task writes the same bytes under the same name."""
+    """A block's sorted hashes and their rows of values as one flat file, complete or absent: a repeated task writes the same
+    bytes under the same name.
+
+    The leading bits of a hash are implied by an index of where they begin, about 24 hashes an entry; 40 bits follow. Rows of
+    values are a byte each, for the 255 most frequent ones; the rest are listed by place.
+    """
+    n, width = values.shape
+    bits = min(16, max(0, n.bit_length() - 5))
+    bucket = keys >> U64(64 - bits) if bits else np.zeros(n, U64)
+    rest = keys >> U64(24 - bits) & U64((1 << 40) - 1)
+    codes, table, others = _coded(values)
+    head = np.array([n, width, bits, len(table), len(others)], np.int64)
+    parts = [head, np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=U64)).astype(np.uint32), rest.astype(np.uint32), table, others.astype(np.uint32), values[others].astype(np.uint32)]
+    parts += [(rest >> U64(32)).astype(np.uint8), codes]
     where, root = (fs.LocalFileSystem(), _local(folder)) if _local(folder) else fs.FileSystem.from_uri(folder)
     where.create_dir(root, recursive=True)
-    for end, data in (("key", keys), ("val", values)):
-        passing = f"{root}/.{uuid.uuid4().hex}"
-        with where.open_output_stream(passing) as f:
-            f.write(np.ascontiguousarray(data).tobytes())
-        where.move(passing, f"{root}/{name}.{end}")
-
-
-def _mapped(folder: str, name: str, kind) -> np.ndarray:
+    passing = f"{root}/.{uuid.uuid4().hex}"
+    with where.open_output_stream(passing) as f:
+        for part in parts:
+            f.write(np.ascontiguousarray(part).tobytes())
+    where.move(passing, f"{root}/{name}")
+
+
+class Table:
+    """One mapped file of sorted hashes."""
+
+    def __init__(self, raw: np.ndarray):
+        n, self.width, bits, known, others = raw[:40].view(np.int64).tolist()
+        at = 40
+
+        def part(size: int, kind=np.uint32):
+            nonlocal at
+            at += size * np.dtype(kind).itemsize
+            return raw[at - size * np.dtype(kind).itemsize : at].view(kind)
+
+        self.bits = bits
+        self.index, self.low = part((1 << bits) + 1), part(n)
+        self.table = part(known * self.width).reshape(known, self.width)
+        self.others, self.rows = part(others), part(others * self.width).reshape(others, self.width)
+        self.high, self.codes = part(n, np.uint8), part(n, np.uint8)
+
+    def _at(self, place: np.ndarray) -> np.ndarray:
+        return self.high[place].astype(U64) << U64(32) | self.low[place]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Rows of values of the hashes, zeros for unknown ones: binary search between an index entry and the next."""
+        out = np.zeros((len(h), self.width), np.uint32)
+        if not len(self.low):
+            return out
+        bucket = (h >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+        rest = h >> U64(24 - self.bits) & U64((1 << 40) - 1)
+        left, end = self.index[bucket].astype(np.int64), self.index[bucket + 1].astype(np.int64)
+        right, last = end.copy(), len(self.low) - 1
+        for _ in range(int((end - left).max(initial=0)).bit_length()):
+            middle = np.minimum((left + right) >> 1, last)
+            open_ = left < right
+            less = self._at(middle) < rest
+            left = np.where(open_ & less, middle + 1, left)
+            right = np.where(open_ & ~less, middle, right)
+        place = np.minimum(left, last)
+        hit = np.flatnonzero((left < end) & (self._at(place) == rest))
+        place = place[hit]
+        code = self.codes[place]
+        plain = code < 255
+        out[hit[plain]] = self.table[code[plain]]
+        out[hit[~plain]] = self.rows[np.searchsorted(self.others, place[~plain])]
+        return out
+
+
+def _mapped(folder: str, name: str) -> Table:
     root = _local(folder)
     if root:
-        path, own = f"{root}/{name}", False
-    else:
-        where, root = fs.FileSystem.from_uri(folder)
-        handle, path = tempfile.mkstemp()
-        own = True
+        return Table(np.memmap(f"{root}/{name}", np.uint8, "r"))
+    where, root = fs.FileSystem.from_uri(folder)
+    handle, path = tempfile.mkstemp()
+    try:
         with os.fdopen(handle, "wb") as out, where.open_input_stream(f"{root}/{name}") as f:
             while part := f.read(1 << 22):
                 out.write(part)
-    try:
-        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+        return Table(np.memmap(path, np.uint8, "r"))
     finally:
-        if own:
-            os.unlink(path)
+        os.unlink(path)
 
 
 def _merge(rows: DataFrame, folder: str, blocks: int, order: int, hot: bytes) -> DataFrame:
@@ -173,7 +248,7 @@ def _merge(rows: DataFrame, folder: str, blocks: int, order: int, hot: bytes) ->
         if kind == RAW or kind < CONTEXT:
             h, columns, values = _merged(gram_hashes(columns), columns, values)
             count = values[0]
-            _write(folder, f"{kind}-{block}", h, count.astype(np.uint32))
+            _write(folder, f"{kind}-{block}", h, count[:, None])
             stats = [int((count == k).sum()) for k in (1, 2, 3, 4)] + [len(count), int(count.sum())]
             yield (kind, -1, None, stats)
             if 1 < kind < CONTEXT:
@@ -187,12 +262,12 @@ def _merge(rows: DataFrame, folder: str, blocks: int, order: int, hot: bytes) ->
                 # of the highest order a block has all followers of a context that isn't hot
                 part = np.frombuffer(hot, bool)[_slot(g)] if kind == order else np.ones(len(g), bool)
                 if not part.all():
-                    _write(folder, f"{CONTEXT + kind}-{block}", g[~part], n[:, ~part].T.astype(np.uint32))
+                    _write(folder, f"{CONTEXT + kind}-{block}", g[~part], n[:, ~part].T)
                 if part.any():
                     yield from _rows((HOT if kind == order else CONTEXT) + kind, g[part], g[None, part], n[:, part], blocks)
         else:
             h, _, values = _merged(columns[0], columns, values)
-            _write(folder, f"{kind}-{block}", h, values.T.astype(np.uint32))
+            _write(folder, f"{kind}-{block}", h, values.T)
 
     @arrowio.lean
     def run(batches):
@@ -244,31 +319,44 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
     blocks = 1 + total // BLOCK
     hot = hot_contexts(docs, order, blocks)
 
-    def count(ids, texts):
-        tokens, at = tokens_of(texts, order)
-        g = grams(tokens, order, 0)
-        inside = np.ones(len(g), bool)
-        for k in range(order - 1):
-            late = at[1:-1] - 1 - k
-            inside[late[late < len(g)]] = False
-        where = np.flatnonzero(inside)
-        h, first, n = np.unique(g[where], return_index=True, return_counts=True)
-        columns = np.stack([tokens[where[first] + k] for k in range(order)])
-        place = placing(h, grams(tokens, order - 1, 0)[where[first]], hot) if order > 1 else h
-        rows = _rows(order, place, columns, n[None], blocks)
-        words, n = np.unique(tokens[where + order - 1], return_counts=True)
-        g, words, n = _merged(gram_hashes(words[None]), words[None], n[None])
-        rows += _rows(RAW, g, words, n, blocks)
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+    def counts_of(step: int):
+        def count(ids, texts):
+            tokens, at = tokens_of(texts, order)
+            g = grams(tokens, order, 0)
+            inside = np.ones(len(g), bool)
+            for k in range(order - 1):
+                late = at[1:-1] - 1 - k
+                inside[late[late < len(g)]] = False
+            place = placing(g, grams(tokens, order - 1, 0)[: len(g)], hot) if order > 1 else g
+            block = block_of(place, blocks)
+            where = np.flatnonzero(inside & (block % PASSES == step))
+            h, first, n = np.unique(g[where], return_index=True, return_counts=True)
+            columns = np.stack([tokens[where[first] + k] for k in range(order)])
+            rows = _rows(order, place[where[first]], columns, n[None], blocks)
+            if not step:
+                words, n = np.unique(tokens[np.flatnonzero(inside) + order - 1], return_counts=True)
+                words, columns, n = _merged(gram_hashes(words[None]), words[None], n[None])
+                rows += _rows(RAW, words, columns, n, blocks)
+            if rows:
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+                return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+
+        return arrowio.map_chunks(docs, count, SCHEMA, FLUSH)
 
     model = Model(order, folder, blocks, hot=hot)
-    rows = arrowio.map_chunks(docs, count, SCHEMA, FLUSH)
-    contexts: list[DataFrame] = []
-    stages: list[DataFrame] = []
+    above: list[DataFrame] = []
     for level in range(order, 0, -1):
-        merged = _merge(rows, folder, blocks, order, hot)
-        stages.append(merged)
+        # a part of the blocks at a time, so that only their rows are shuffled and on disk at once
+        if level == order:
+            parts = [counts_of(step) for step in range(PASSES)]
+        else:
+            rows = functools.reduce(DataFrame.union, above).where(F.col("kind") == level)
+            parts = [rows.where(F.col("block") % PASSES == step) for step in range(PASSES)]
+        staged = [_merge(part, folder, blocks, order, hot) for part in parts]
+        for done in above:
+            arrowio.drop_stage(done)
+        above = staged
+        merged = functools.reduce(DataFrame.union, above)
         sums = merged.where("block < 0").groupBy("kind").agg(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(6))).collect()
         for r in sums:
             n = [r[f"s{k}"] for k in range(6)]
@@ -278,13 +366,11 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
                 model.discounts[r.kind] = _discounts(n)
                 if r.kind == 1:
                     model.unigrams = (n[5], n[0], n[1], n[4] - n[0] - n[1])
-        contexts.append(merged.where(F.col("kind").isin(CONTEXT + level, HOT + level)))
-        rows = merged.where(F.col("kind") == level - 1)
-    if order > 1:
-        # every level but the first has contexts
-        arrowio.drop_stage(_merge(functools.reduce(DataFrame.union, contexts), folder, blocks, order, hot))
-    for staged in stages:
-        arrowio.drop_stage(staged)
+        if level > 1:
+            contexts = merged.where(F.col("kind").isin(CONTEXT + level, HOT + level))
+            arrowio.drop_stage(_merge(contexts, folder, blocks, order, hot))
+    for done in above:
+        arrowio.drop_stage(done)
     return model
 
 
@@ -305,15 +391,12 @@ class Arrays:
         for k in np.unique(block).tolist():
             if (kind, k) not in self.held:
                 try:
-                    self.held[kind, k] = _mapped(self.model.folder, f"{kind}-{k}.key", U64), _mapped(self.model.folder, f"{kind}-{k}.val", np.uint32).reshape(-1, width)
+                    self.held[kind, k] = _mapped(self.model.folder, f"{kind}-{k}")
                 except FileNotFoundError:
-                    self.held[kind, k] = np.zeros(0, U64), np.zeros((0, width), np.uint32)
-            keys, values = self.held[kind, k]
-            if len(keys):
+                    self.held[kind, k] = None
+            if self.held[kind, k]:
                 mine = order[edges[k] : edges[k + 1]]
-                at = np.minimum(np.searchsorted(keys, asked[mine]), len(keys) - 1)
-                hit = keys[at] == asked[mine]
-                out[mine[hit]] = values[at[hit]]
+                out[mine] = self.held[kind, k].find(asked[mine])
         return out[back]
 
 

@@ -385,6 +385,17 @@ def test_language_model(spark, order, monkeypatch):
     assert kneser_ney.score(df.limit(0), model).collect() == []
 
 
+@pytest.mark.parametrize("n, width", [(0, 1), (1, 4), (20, 1), (5000, 4), (200_000, 1)])
+def test_language_model_files_hold_every_value(tmp_path, n, width):
+    draw = np.random.default_rng(n)
+    keys = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    values = np.minimum(draw.zipf(1.3, (len(keys), width)), 1 << 31).astype(np.int64)
+    kneser_ney._write(str(tmp_path), "t", keys, values)
+    table = kneser_ney._mapped(str(tmp_path), "t")
+    assert (table.find(keys) == values).all()
+    assert not table.find(draw.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)).any()
+
+
 def test_language_model_query_has_order_three(spark, tmp_path):
     import zlib
 
