@@ -86,7 +86,10 @@ def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
 def _pack(columns: np.ndarray, values: np.ndarray) -> bytes:
     """Word hashes by a dictionary of their own, and values."""
     known, index = np.unique(columns, return_inverse=True)
-    index = index.astype(np.uint16 if len(known) < 1 << 16 else np.uint32)
+    index = index.reshape(columns.shape).astype(np.uint16 if len(known) < 1 << 16 else np.uint32)
+    # rows in order of their first words compress better
+    order = np.argsort(index[0].astype(U64) << U64(32) | index[min(1, len(index) - 1)])
+    index, values = index[:, order], values[:, order]
     head = np.array([*columns.shape, len(known), *values.shape], np.int64)
     return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + known.tobytes() + index.tobytes() + values.astype(np.uint32).tobytes())
 
@@ -283,7 +286,8 @@ def _merge(rows: DataFrame, folder: str, blocks: int, order: int, hot: bytes) ->
             yield from _batches(list(finish(*key, held)))
 
     dealt = rows.where("block >= 0").select("kind", "block", "packed").repartition(max(1, blocks), "kind", "block").sortWithinPartitions("kind", "block")
-    return arrowio.stage(dealt.mapInArrow(run, SCHEMA))
+    out = dealt.mapInArrow(run, SCHEMA)
+    return arrowio.stage(out.withColumn("part", F.when(F.col("block") >= 0, F.col("block") % PASSES).otherwise(-1)), "part")
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -351,8 +355,12 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
             parts = [counts_of(step) for step in range(PASSES)]
         else:
             rows = functools.reduce(DataFrame.union, above).where(F.col("kind") == level)
-            parts = [rows.where(F.col("block") % PASSES == step) for step in range(PASSES)]
-        staged = [_merge(part, folder, blocks, order, hot) for part in parts]
+            parts = [rows.where(F.col("part") == step) for step in range(PASSES)]
+        staged = []
+        for step, part in enumerate(parts):
+            staged.append(_merge(part, folder, blocks, order, hot))
+            for done in above:
+                arrowio.drop_stage(done, f"part={step}")
         for done in above:
             arrowio.drop_stage(done)
         above = staged
