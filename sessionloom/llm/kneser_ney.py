@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm import arrowio
@@ -73,9 +73,23 @@ def tokens_of(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.nda
     return out, at
 
 
-def gram_hashes(columns: np.ndarray) -> np.ndarray:
-    """Hash of each n-gram given as n rows of word hashes; equal to that of ``grams`` over running text."""
-    return grams(np.ascontiguousarray(columns.T).ravel(), len(columns), 0)[:: len(columns)] if columns.size else np.zeros(0, U64)
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the sorted distinct numbers, where each stands, which one each number is)."""
+    order = np.argsort(h)
+    ordered = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], back
+
+
+def gram_hashes(words: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Hash of each n-gram given as n rows of places in ``words``; equal to that of ``grams`` over running text."""
+    out = np.zeros(columns.shape[1], U64)
+    for column, factor in zip(columns, numbers(len(columns), 1000) | U64(1), strict=True):
+        out += words[column] * factor
+    return mix(out)
 
 
 def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
@@ -83,25 +97,39 @@ def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
     return ((mix(h + U64(1)) >> U64(32)) * U64(blocks) >> U64(32)).astype(np.int64)
 
 
-def _pack(columns: np.ndarray, values: np.ndarray) -> bytes:
-    """Word hashes by a dictionary of their own, and values."""
-    known, index = np.unique(columns, return_inverse=True)
-    index = index.reshape(columns.shape).astype(np.uint16 if len(known) < 1 << 16 else np.uint32)
+def _pack(words: np.ndarray, columns: np.ndarray, values: np.ndarray) -> bytes:
+    """N-grams as places in a dictionary of their own words, and values."""
+    if columns.size < len(words) >> 3:
+        used, index = np.unique(columns, return_inverse=True)
+        index = index.reshape(columns.shape)
+    else:
+        there = np.zeros(len(words), bool)
+        there[columns] = True
+        used, index = np.flatnonzero(there), (np.cumsum(there) - 1)[columns]
+    index = index.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
     # rows in order of their first words compress better
     order = np.argsort(index[0].astype(U64) << U64(32) | index[min(1, len(index) - 1)])
     index, values = index[:, order], values[:, order]
-    head = np.array([*columns.shape, len(known), *values.shape], np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + known.tobytes() + index.tobytes() + values.astype(np.uint32).tobytes())
+    head = np.array([*columns.shape, len(used), *values.shape], np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + words[used].tobytes() + index.tobytes() + values.astype(np.uint32).tobytes())
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompressobj().decompress(blob)
     n, m, k, a, b = np.frombuffer(raw, np.int64, 5).tolist()
     at = 40 + 8 * k
     kind = np.dtype(np.uint16 if k < 1 << 16 else np.uint32)
     index = np.frombuffer(raw, kind, n * m, at)
     values = np.frombuffer(raw, np.uint32, a * b, at + index.nbytes)
-    return np.frombuffer(raw, U64, k, 40)[index].reshape(n, m), values.reshape(a, b)
+    return np.frombuffer(raw, U64, k, 40), index.reshape(n, m), values.reshape(a, b)
+
+
+def _joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of several blobs over one dictionary."""
+    parts = [_unpack(b) for b in blobs]
+    words = np.unique(np.concatenate([p[0] for p in parts]))
+    columns = np.concatenate([np.searchsorted(words, known).astype(np.uint32)[index] for known, index, _ in parts], axis=1)
+    return words, columns, np.concatenate([p[2] for p in parts], axis=1)
 
 
 def _slot(context: np.ndarray) -> np.ndarray:
@@ -113,18 +141,22 @@ def placing(gram: np.ndarray, context: np.ndarray, hot: bytes) -> np.ndarray:
     return np.where(np.frombuffer(hot, bool)[_slot(context)], gram, context)
 
 
-def _rows(kind: int, h: np.ndarray, columns: np.ndarray, values: np.ndarray, blocks: int):
-    """(kind, block, packed, None) of columns and values by the hash that decides the block."""
-    block = block_of(h, blocks)
-    order = np.argsort(block, kind="stable")
-    block, columns, values = block[order], columns[:, order], values[:, order]
-    edges = np.searchsorted(block, np.arange(blocks + 1))
-    return [(kind, k, _pack(columns[:, edges[k] : edges[k + 1]], values[:, edges[k] : edges[k + 1]]), None) for k in np.unique(block).tolist()]
+def _by_block(block: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(an order by block, where each block starts in it); short numbers are sorted by their digits."""
+    order = np.argsort(block.astype(np.uint16) if blocks <= 1 << 16 else block, kind="stable")
+    return order, np.searchsorted(block[order], np.arange(blocks + 1))
+
+
+def _rows(kind: int, block: np.ndarray, words: np.ndarray, columns: np.ndarray, values: np.ndarray, blocks: int):
+    """(kind, block, packed, None) of n-grams and values by their blocks."""
+    order, edges = _by_block(block, blocks)
+    columns, values = columns[:, order], values[:, order]
+    return [(kind, k, _pack(words, columns[:, edges[k] : edges[k + 1]], values[:, edges[k] : edges[k + 1]]), None) for k in np.flatnonzero(np.diff(edges)).tolist()]
 
 
 def _merged(h: np.ndarray, columns: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct hashes with their columns and summed values."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h = h[order]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
     sums = np.add.reduceat(values[:, order].astype(np.int64), first, axis=1) if len(h) else values.astype(np.int64)
@@ -185,6 +217,7 @@ class Table:
     """One mapped file of sorted hashes."""
 
     def __init__(self, raw: np.ndarray):
+        raw = raw.view(np.ndarray)
         n, self.width, bits, known, others = raw[:40].view(np.int64).tolist()
         at = 40
 
@@ -246,30 +279,28 @@ def _merge(rows: DataFrame, folder: str, blocks: int, order: int, hot: bytes) ->
     """Merges each (kind, block): writes its files; passes on continuations, context sums and statistics."""
 
     def finish(kind: int, block: int, blobs: list[bytes]):
-        parts = [_unpack(b) for b in blobs]
-        columns, values = (np.concatenate([p[k] for p in parts], axis=1) for k in (0, 1))
+        words, columns, values = _joined(blobs)
         if kind == RAW or kind < CONTEXT:
-            h, columns, values = _merged(gram_hashes(columns), columns, values)
+            h, columns, values = _merged(gram_hashes(words, columns), columns, values)
             count = values[0]
             _write(folder, f"{kind}-{block}", h, count[:, None])
             stats = [int((count == k).sum()) for k in (1, 2, 3, 4)] + [len(count), int(count.sum())]
             yield (kind, -1, None, stats)
             if 1 < kind < CONTEXT:
-                words = columns[1:]
-                ones = np.ones((1, columns.shape[1]), np.int64)
-                g, w, n = _merged(gram_hashes(words), words, ones)
-                yield from _rows(kind - 1, g, w, n, blocks)
-                words = columns[:-1]
+                ones = np.ones((1, columns.shape[1]), np.uint8)
+                g, w, n = _merged(gram_hashes(words, columns[1:]), columns[1:], ones)
+                yield from _rows(kind - 1, block_of(g, blocks), words, w, n, blocks)
                 sums = np.stack((count, count == 1, count == 2, count >= 3))
-                g, _, n = _merged(gram_hashes(words), words, sums)
+                g, _, n = _merged(gram_hashes(words, columns[:-1]), columns[:0], sums)
                 # of the highest order a block has all followers of a context that isn't hot
                 part = np.frombuffer(hot, bool)[_slot(g)] if kind == order else np.ones(len(g), bool)
                 if not part.all():
                     _write(folder, f"{CONTEXT + kind}-{block}", g[~part], n[:, ~part].T)
                 if part.any():
-                    yield from _rows((HOT if kind == order else CONTEXT) + kind, g[part], g[None, part], n[:, part], blocks)
+                    g, n = g[part], n[:, part]
+                    yield from _rows((HOT if kind == order else CONTEXT) + kind, block_of(g, blocks), g, np.arange(len(g))[None], n, blocks)
         else:
-            h, _, values = _merged(columns[0], columns, values)
+            h, _, values = _merged(words[columns[0]], columns, values)
             _write(folder, f"{kind}-{block}", h, values.T)
 
     @arrowio.lean
@@ -298,30 +329,27 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), float(k)) for k, d in enumerate(found, 1))
 
 
-def hot_contexts(docs: DataFrame, order: int, blocks: int) -> bytes:
-    """Flags of the hash ranges of contexts that hold over half a block's share of all n-grams."""
+def sized(docs: DataFrame, order: int) -> tuple[int, bytes]:
+    """(number of blocks, flags of the hash ranges of contexts that hold over half a block's share of all n-grams), in one pass."""
 
     def count(ids, texts):
-        tokens, at = tokens_of(texts, order)
-        n = np.bincount(_slot(grams(tokens, order - 1, 0)), minlength=HOT_SLOTS)
+        tokens, _ = tokens_of(texts, order)
+        n = np.bincount(_slot(grams(tokens, order - 1, 0)), minlength=HOT_SLOTS) if order > 1 else np.zeros(1, np.int64)
         slots = np.flatnonzero(n)
-        return pa.array(slots, pa.int32()), pa.array(n[slots], pa.int64())
+        return pa.array(np.append(slots, -1), pa.int32()), pa.array(np.append(n[slots], sum(len(t or b"") for t in texts)), pa.int64())
 
-    flags = np.zeros(HOT_SLOTS, bool)
-    if order > 1:
-        sums = arrowio.map_chunks(docs, count, "slot int, n long", FLUSH).groupBy("slot").agg(F.sum("n").alias("n"))
-        # at most 2 x blocks ranges can be that frequent
-        shares = sums.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())).where(F.col("share") > 0.5 / blocks)
-        flags[[r.slot for r in shares.select("slot").collect()]] = blocks > 1
-    return flags.tobytes()
+    sums = arrowio.map_chunks(docs, count, "slot int, n long", FLUSH).groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    held = {r.slot: r.n for r in sums}
+    blocks = 1 + held.pop(-1, 0) // BLOCK
+    flags, everything = np.zeros(HOT_SLOTS, bool), sum(held.values())
+    flags[[slot for slot, n in held.items() if n * 2 * blocks > everything]] = blocks > 1
+    return blocks, flags.tobytes()
 
 
 def fit(docs: DataFrame, order: int = 3) -> Model:
     """Learns from every row of (doc_id, text)."""
     folder = f"{arrowio.shared_folder(docs.sparkSession)}/ngrams-{uuid.uuid4().hex}"
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total // BLOCK
-    hot = hot_contexts(docs, order, blocks)
+    blocks, hot = sized(docs, order)
 
     def counts_of(step: int):
         def count(ids, texts):
@@ -333,14 +361,19 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
                 inside[late[late < len(g)]] = False
             place = placing(g, grams(tokens, order - 1, 0)[: len(g)], hot) if order > 1 else g
             block = block_of(place, blocks)
+            words, _, index = distinct(tokens)
+            index = index.astype(np.uint32)
             where = np.flatnonzero(inside & (block % PASSES == step))
-            h, first, n = np.unique(g[where], return_index=True, return_counts=True)
-            columns = np.stack([tokens[where[first] + k] for k in range(order)])
-            rows = _rows(order, place[where[first]], columns, n[None], blocks)
+            h = g[where]
+            ranked = np.argsort(h)
+            h = h[ranked]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+            n, where = np.diff(np.append(first, len(h))), where[ranked[first]]
+            rows = _rows(order, block[where], words, np.stack([index[where + k] for k in range(order)]), n[None], blocks)
             if not step:
-                words, n = np.unique(tokens[np.flatnonzero(inside) + order - 1], return_counts=True)
-                words, columns, n = _merged(gram_hashes(words[None]), words[None], n[None])
-                rows += _rows(RAW, words, columns, n, blocks)
+                n = np.bincount(index[np.flatnonzero(inside) + order - 1], minlength=len(words))
+                mine = np.flatnonzero(n)
+                rows += _rows(RAW, block_of(gram_hashes(words, mine[None]), blocks), words, mine[None], n[None, mine], blocks)
             if rows:
                 kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
                 return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -388,15 +421,13 @@ class Arrays:
     def __init__(self, model: Model):
         self.model, self.held = model, {}
 
-    def find(self, kind: int, h: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
-        """Values of the hashes, (number, width); zeros for unknown ones. place: what decides the block, where it isn't h."""
+    def find(self, kind: int, asked: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+        """Values of distinct, sorted hashes, (number, width); zeros for unknown ones. place: what decides the block, where it isn't the hash."""
         width = 4 if CONTEXT <= kind < RAW else 1
-        asked, first, back = np.unique(h, return_index=True, return_inverse=True)
-        block = block_of(asked if place is None else place[first], self.model.blocks)
-        order = np.argsort(block, kind="stable")
+        blocks = self.model.blocks
+        order, edges = _by_block(block_of(asked if place is None else place, blocks), blocks)
         out = np.zeros((len(asked), width), np.uint32)
-        edges = np.searchsorted(block[order], np.arange(self.model.blocks + 1))
-        for k in np.unique(block).tolist():
+        for k in np.flatnonzero(np.diff(edges)).tolist():
             if (kind, k) not in self.held:
                 try:
                     self.held[kind, k] = _mapped(self.model.folder, f"{kind}-{k}")
@@ -405,7 +436,7 @@ class Arrays:
             if self.held[kind, k]:
                 mine = order[edges[k] : edges[k + 1]]
                 out[mine] = self.held[kind, k].find(asked[mine])
-        return out[back]
+        return out
 
 
 @functools.lru_cache(2)
@@ -417,28 +448,43 @@ def _less(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(count - np.array([0.0, *d])[np.minimum(count, 3).astype(np.int64)], 0)
 
 
-def probabilities(tokens: np.ndarray, where: np.ndarray, model: Model) -> np.ndarray:
-    """Probability of the tokens at the places ``where``, each after the order - 1 before it."""
+def probabilities(tokens: np.ndarray, where: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(probability, training count) of the tokens at the places ``where``, each after the order - 1 before it.
+
+    Each distinct n-gram of the run is looked up once, as an n-gram and as the context of longer ones.
+    """
     arrays = _arrays(model.folder, model.order, model.blocks)
+    words, _, back = distinct(tokens)
+    asked = grams(words, 1, 0)
+    shorter, ranked = asked[back], np.argsort(asked)
+    place_of = np.empty(len(asked), np.int64)
+    place_of[ranked] = np.arange(len(asked))
+    asked, back = asked[ranked], place_of[back]
+    raw = arrays.find(RAW, asked)[back[where], 0].astype(float)
     total, *followers = model.unigrams
     p = np.full(len(where), 1.0 / (model.vocabulary + 1))
     if total:
         d = model.discounts[1]
-        c = arrays.find(1, grams(tokens, 1, 0)[where])[:, 0].astype(float)
+        c = arrays.find(1, asked)[back[where], 0].astype(float)
         p = _less(c, d) / total + sum(x * n for x, n in zip(d, followers, strict=True)) / total * p
+    any_hot = any(model.hot)
     for k in range(2, model.order + 1):
         if k not in model.discounts:
             break
-        d = model.discounts[k]
-        gram, context = grams(tokens, k, 0)[where - k + 1], grams(tokens, k - 1, 0)[where - k + 1]
-        top = k == model.order
-        c = arrays.find(k, gram, placing(gram, context, model.hot) if top else None)[:, 0].astype(float)
-        seen = arrays.find(CONTEXT + k, context).astype(float)
-        if top:
-            seen += arrays.find(HOT + k, context)
-        total = np.maximum(seen[:, 0], 1)
-        p = np.where(seen[:, 0] > 0, _less(c, d) / total + seen[:, 1:] @ np.array(d) / total * p, p)
-    return p
+        d, top = model.discounts[k], k == model.order
+        seen = arrays.find(CONTEXT + k, asked)
+        if top and any_hot:
+            seen = seen + arrays.find(HOT + k, asked)
+        total = np.maximum(seen[:, 0], 1).astype(float)
+        passed_on = np.where(seen[:, 0] > 0, seen[:, 1:] @ np.array(d) / total, 1.0)
+        context = back[where - k + 1]
+        gram = grams(tokens, k, 0)
+        asked, first, back = distinct(gram)
+        c = arrays.find(k, asked, placing(asked, shorter[first], model.hot) if top else None)[back[where - k + 1], 0].astype(float)
+        # an unseen context has no seen n-gram
+        p = _less(c, d) / total[context] + passed_on[context] * p
+        shorter = gram
+    return p, raw
 
 
 SCORE_SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double"
@@ -455,9 +501,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         where = np.flatnonzero(inside)
         sizes = np.diff(at) - model.order + 1
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        raw = _arrays(model.folder, model.order, model.blocks).find(RAW, grams(tokens, 1, 0)[where])[:, 0].astype(float)
+        p, raw = probabilities(tokens, where, model)
         base = np.add.reduceat(np.log10((raw + 1) / (model.tokens + model.vocabulary + 1)), first)
-        own = np.add.reduceat(np.log10(probabilities(tokens, where, model)), first)
+        own = np.add.reduceat(np.log10(p), first)
         known = np.add.reduceat((raw > 0).astype(np.int64), first)
         columns = (ids, sizes, known, base, own, 10 ** np.minimum(-own / sizes, 300))
         return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)]
