@@ -127,8 +127,9 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The n-grams of several blobs over one dictionary."""
     parts = [_unpack(b) for b in blobs]
-    words = np.unique(np.concatenate([p[0] for p in parts]))
-    columns = np.concatenate([np.searchsorted(words, known).astype(np.uint32)[index] for known, index, _ in parts], axis=1)
+    words, _, back = distinct(np.concatenate([p[0] for p in parts]))
+    places = np.split(back.astype(np.uint32), np.cumsum([len(p[0]) for p in parts])[:-1])
+    columns = np.concatenate([place[index] for place, (_, index, _) in zip(places, parts, strict=True)], axis=1)
     return words, columns, np.concatenate([p[2] for p in parts], axis=1)
 
 
@@ -154,13 +155,16 @@ def _rows(kind: int, block: np.ndarray, words: np.ndarray, columns: np.ndarray,
     return [(kind, k, _pack(words, columns[:, edges[k] : edges[k + 1]], values[:, edges[k] : edges[k + 1]]), None) for k in np.flatnonzero(np.diff(edges)).tolist()]
 
 
-def _merged(h: np.ndarray, columns: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes with their columns and summed values."""
+def _grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct hashes, an order by hash, where each hash starts in it)."""
     order = np.argsort(h)
     h = h[order]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
-    sums = np.add.reduceat(values[:, order].astype(np.int64), first, axis=1) if len(h) else values.astype(np.int64)
-    return h[first], columns[:, order[first]], sums
+    return h[first], order, first
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
 
 
 def _batches(rows: list[tuple]):
@@ -202,8 +206,8 @@ def _write(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> None
     rest = keys >> U64(24 - bits) & U64((1 << 40) - 1)
     codes, table, others = _coded(values)
     head = np.array([n, width, bits, len(table), len(others)], np.int64)
-    parts = [head, np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=U64)).astype(np.uint32), rest.astype(np.uint32), table, others.astype(np.uint32), values[others].astype(np.uint32)]
-    parts += [(rest >> U64(32)).astype(np.uint8), codes]
+    parts = [head, np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=U64)).astype(np.uint32), (rest >> U64(8)).astype(np.uint32), table, others.astype(np.uint32), values[others].astype(np.uint32)]
+    parts += [rest.astype(np.uint8), codes]
     where, root = (fs.LocalFileSystem(), _local(folder)) if _local(folder) else fs.FileSystem.from_uri(folder)
     where.create_dir(root, recursive=True)
     passing = f"{root}/.{uuid.uuid4().hex}"
@@ -227,13 +231,10 @@ class Table:
             return raw[at - size * np.dtype(kind).itemsize : at].view(kind)
 
         self.bits = bits
-        self.index, self.low = part((1 << bits) + 1), part(n)
+        self.index, self.high = part((1 << bits) + 1), part(n)
         self.table = part(known * self.width).reshape(known, self.width)
         self.others, self.rows = part(others), part(others * self.width).reshape(others, self.width)
-        self.high, self.codes = part(n, np.uint8), part(n, np.uint8)
-
-    def _at(self, place: np.ndarray) -> np.ndarray:
-        return self.high[place].astype(U64) << U64(32) | self.low[place]
+        self.low, self.codes = part(n, np.uint8), part(n, np.uint8)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Rows of values of the hashes, zeros for unknown ones: binary search between an index entry and the next."""
@@ -242,21 +243,26 @@ class Table:
             return out
         bucket = (h >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
         rest = h >> U64(24 - self.bits) & U64((1 << 40) - 1)
-        left, end = self.index[bucket].astype(np.int64), self.index[bucket + 1].astype(np.int64)
-        right, last = end.copy(), len(self.low) - 1
-        for _ in range(int((end - left).max(initial=0)).bit_length()):
-            middle = np.minimum((left + right) >> 1, last)
-            open_ = left < right
-            less = self._at(middle) < rest
-            left = np.where(open_ & less, middle + 1, left)
-            right = np.where(open_ & ~less, middle, right)
-        place = np.minimum(left, last)
-        hit = np.flatnonzero((left < end) & (self._at(place) == rest))
-        place = place[hit]
-        code = self.codes[place]
-        plain = code < 255
-        out[hit[plain]] = self.table[code[plain]]
-        out[hit[~plain]] = self.rows[np.searchsorted(self.others, place[~plain])]
+        high, low = (rest >> U64(8)).astype(np.uint32), rest.astype(np.uint8)
+        place, end = self.index[bucket].astype(np.int32), self.index[bucket + 1].astype(np.int32)
+        for step in reversed([1 << k for k in range(int((end - place).max(initial=0)).bit_length())]):
+            ahead = place + np.int32(step)
+            fewer = (np.take(self.high, ahead - np.int32(1), mode="clip") < high) & (ahead <= end)
+            place = np.where(fewer, ahead, place)
+        asked = np.flatnonzero(place < end)
+        while len(asked):
+            at = place[asked]
+            equal = self.high[at] == high[asked]
+            hit = equal & (self.low[at] == low[asked])
+            found, at = asked[hit], at[hit]
+            code = self.codes[at]
+            plain = code < 255
+            out[found[plain]] = self.table[code[plain]]
+            out[found[~plain]] = self.rows[np.searchsorted(self.others, at[~plain])]
+            # the few that agree in the first 32 bits only look at the next one
+            asked = asked[equal & ~hit]
+            place[asked] += 1
+            asked = asked[place[asked] < end[asked]]
         return out
 
 
@@ -281,17 +287,18 @@ def _merge(rows: DataFrame, folder: str, blocks: int, order: int, hot: bytes) ->
     def finish(kind: int, block: int, blobs: list[bytes]):
         words, columns, values = _joined(blobs)
         if kind == RAW or kind < CONTEXT:
-            h, columns, values = _merged(gram_hashes(words, columns), columns, values)
-            count = values[0]
+            h, ranked, first = _grouped(gram_hashes(words, columns))
+            columns, count = columns[:, ranked[first]], _sums(values[0, ranked], first)
             _write(folder, f"{kind}-{block}", h, count[:, None])
             stats = [int((count == k).sum()) for k in (1, 2, 3, 4)] + [len(count), int(count.sum())]
             yield (kind, -1, None, stats)
             if 1 < kind < CONTEXT:
-                ones = np.ones((1, columns.shape[1]), np.uint8)
-                g, w, n = _merged(gram_hashes(words, columns[1:]), columns[1:], ones)
-                yield from _rows(kind - 1, block_of(g, blocks), words, w, n, blocks)
-                sums = np.stack((count, count == 1, count == 2, count >= 3))
-                g, _, n = _merged(gram_hashes(words, columns[:-1]), columns[:0], sums)
+                g, ranked, first = _grouped(gram_hashes(words, columns[1:]))
+                n = np.diff(np.append(first, len(ranked)))
+                yield from _rows(kind - 1, block_of(g, blocks), words, columns[1:, ranked[first]], n[None], blocks)
+                g, ranked, first = _grouped(gram_hashes(words, columns[:-1]))
+                count = count[ranked]
+                n = np.stack([_sums(x, first) for x in (count, count == 1, count == 2, count >= 3)])
                 # of the highest order a block has all followers of a context that isn't hot
                 part = np.frombuffer(hot, bool)[_slot(g)] if kind == order else np.ones(len(g), bool)
                 if not part.all():
@@ -300,8 +307,8 @@ def _merge(rows: DataFrame, folder: str, blocks: int, order: int, hot: bytes) ->
                     g, n = g[part], n[:, part]
                     yield from _rows((HOT if kind == order else CONTEXT) + kind, block_of(g, blocks), g, np.arange(len(g))[None], n, blocks)
         else:
-            h, _, values = _merged(words[columns[0]], columns, values)
-            _write(folder, f"{kind}-{block}", h, values.T)
+            h, ranked, first = _grouped(words[columns[0]])
+            _write(folder, f"{kind}-{block}", h, np.stack([_sums(v[ranked], first) for v in values]).T)
 
     @arrowio.lean
     def run(batches):
@@ -364,11 +371,8 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
             words, _, index = distinct(tokens)
             index = index.astype(np.uint32)
             where = np.flatnonzero(inside & (block % PASSES == step))
-            h = g[where]
-            ranked = np.argsort(h)
-            h = h[ranked]
-            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
-            n, where = np.diff(np.append(first, len(h))), where[ranked[first]]
+            _, ranked, first = _grouped(g[where])
+            n, where = np.diff(np.append(first, len(ranked))), where[ranked[first]]
             rows = _rows(order, block[where], words, np.stack([index[where + k] for k in range(order)]), n[None], blocks)
             if not step:
                 n = np.bincount(index[np.flatnonzero(inside) + order - 1], minlength=len(words))
