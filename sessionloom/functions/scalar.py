@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The 32-bit FNV-1a offset basis and prime, the prefix that a session's trace id is hashed with,
-# the topic of agent events, and the suffix of dead-letter topics.
+# The 32-bit FNV-1a offset basis and prime, the topic of agent events, and the suffix of dead-letter topics.
 FNV_BASIS, FNV_PRIME, WORD = 2166136261, 16777619, 4294967295
-TRACE_PREFIX = "agentbus/session/"
+#: What a session's key is hashed behind for its trace id; another system's ids need that system's prefix.
+TRACE_PREFIX = "session/"
 AGENT_TOPIC, DLQ_SUFFIX = "agent-events", ".dlq"
 
 _BLANK = r"(?U)^\s+|\s+$"
@@ -22,9 +22,9 @@ def fold_bytes(octets: Column) -> Column:
 
 def octets_of(text: Column) -> Column:
     """The UTF-8 bytes of a string as an array of BIGINT."""
-    digits = F.hex(F.encode(text, "utf-8"))
-    places = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits), F.lit(2))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda p: F.conv(F.substring(digits, p, F.lit(2)), 16, 10).cast("long"))
+    # every byte as the character of its number
+    signs = F.split(F.decode(F.encode(text, "utf-8"), "iso-8859-1"), "")
+    return F.transform(F.filter(signs, lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
 
 
 def fnv1a32(text: Column) -> Column:
@@ -50,9 +50,9 @@ def session_key(tenant: Column, project: Column, session: Column) -> Column:
     return F.concat_ws("/", trimmed(tenant), trimmed(project), trimmed(session))
 
 
-def trace_id(key: Column) -> Column:
+def trace_id(key: Column, prefix: str = TRACE_PREFIX) -> Column:
     """Lower-case hex of a session's 16-byte trace id; null for a key without any part."""
-    return F.when(key != "//", F.left(F.sha2(F.concat(F.lit(TRACE_PREFIX), key), 256), F.lit(32)))
+    return F.when(key != "//", F.left(F.sha2(F.concat(F.lit(prefix), key), 256), F.lit(32)))
 
 
 def dlq_topic(topic: Column, override: Column | None = None) -> Column:
@@ -95,9 +95,10 @@ def header_pair(line: Column) -> Column:
 
 def register(spark) -> None:
     """SQL names of the functions, for spark.sql users."""
-    fold = f"aggregate(transform(sequence(1, greatest(octet_length({{0}}), 1)), i -> cast(conv(substring(hex(encode({{0}}, 'utf-8')), 2 * i - 1, 2), 16, 10) as bigint)), {FNV_BASIS}L, (h, b) -> if(b is null, h, ((h ^ b) * {FNV_PRIME}L) & {WORD}L))"
+    signs = "filter(split(decode(encode({0}, 'utf-8'), 'iso-8859-1'), ''), c -> c <> '')"
+    fold = f"aggregate({signs}, {FNV_BASIS}L, (h, c) -> ((h ^ ascii(c)) * {FNV_PRIME}L) & {WORD}L)"
     blank = "regexp_replace({0}, '(?U)^\\\\s+|\\\\s+$', '')"
     spark.sql(f"create or replace temporary function fnv1a32(k string) returns bigint return {fold.format('k')}")
     spark.sql(f"create or replace temporary function session_key(t string, p string, s string) returns string return concat_ws('/', {', '.join(blank.format(x) for x in 'tps')})")
-    spark.sql(f"create or replace temporary function session_trace_id(k string) returns string return if(k = '//', null, left(sha2(concat('{TRACE_PREFIX}', k), 256), 32))")
+    spark.sql(f"create or replace temporary function session_trace_id(k string, prefix string default '{TRACE_PREFIX}') returns string return if(k = '//', null, left(sha2(concat(prefix, k), 256), 32))")
     spark.sql("create or replace temporary function partition_for(k string, n int) returns int return cast(fnv1a32(k) % n as int)")

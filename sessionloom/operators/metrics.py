@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.scalar import is_dlq, trend
+from sessionloom.operators.envelope import with_validity
 
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 ROLES = ("Follower", "Candidate", "Leader", "Shutdown")
 
 
-def agent_counters(events: DataFrame) -> DataFrame:
-    """published, retries and dlq by topic and type in one pass; a row may count in all three."""
+def agent_counters(log: DataFrame, payload: str = "payload") -> DataFrame:
+    """published, retries and dlq by topic and type in one pass over (topic, payload); a row may count in all three, and a
+    payload that isn't a valid event counts in none."""
+    events = with_validity(log.select("topic", payload), payload).where("is_event").select("topic", "e.type", "e.attempt")
     return events.groupBy("topic", "type").agg(F.count("*").alias("published"), F.count_if(F.col("attempt") > 1).alias("retries"), F.count_if(is_dlq(F.col("topic"))).alias("dlq"))
 
 
@@ -118,12 +121,18 @@ def high_water_mark(replicas: DataFrame, acks: DataFrame) -> DataFrame:
     return replicas.join(best, ["shard_id", "replica"], "left").groupBy("shard_id").agg(F.min(F.coalesce("acked", F.lit(0))).cast("long").alias("mark"))
 
 
-def fold_commands(commands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, shard leaders) after a command log: last write wins, and removing a member clears the shards it then leads."""
-    is_member = F.col("op").isin("add_member", "register_member", "remove_member")
-    last = commands.where(is_member).groupBy("node_id").agg(F.max_by(F.struct("op", "addr", "client_addr"), "seq").alias("x"))
-    members = last.where(F.col("x.op") != "remove_member").select("node_id", "x.addr", "x.client_addr")
-    leads = commands.where(F.col("op") == "set_shard_leader").groupBy("shard").agg(F.max_by("node_id", "seq").alias("node_id"), F.max("seq").alias("set_at"))
-    gone = commands.where(F.col("op") == "remove_member").groupBy(F.col("node_id").alias("gone")).agg(F.max("seq").alias("gone_at"))
+def fold_commands(commands: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, shard leaders, shard count) after a command log of (seq, op, node_id, addr, client_addr, shard).
+
+    Adding a member keeps the client address that it has registered; registering sets both; removing it forgets both and clears
+    the shards that it then leads. Commands that need a node id and have none change nothing. No count set gives no row.
+    """
+    named = commands.where("node_id <> ''")
+    gone = named.where("op = 'remove_member'").groupBy(F.col("node_id").alias("gone")).agg(F.max("seq").alias("gone_at"))
+    present = named.where("op in ('add_member', 'register_member')").join(gone, F.col("node_id") == F.col("gone"), "left")
+    registered = F.max_by("client_addr", F.when(F.col("op") == "register_member", F.col("seq"))).alias("client_addr")
+    members = present.where("gone_at is null or seq > gone_at").groupBy("node_id").agg(F.max_by("addr", "seq").alias("addr"), registered)
+    leads = named.where("op = 'set_shard_leader'").groupBy("shard").agg(F.max_by("node_id", "seq").alias("node_id"), F.max("seq").alias("set_at"))
     kept = leads.join(gone, (F.col("node_id") == F.col("gone")) & (F.col("gone_at") > F.col("set_at")), "left_anti")
-    return members, kept.select(F.col("shard").alias("shard_id"), "node_id")
+    count = commands.where("op = 'set_shard_count'").agg(F.max_by("shard", "seq").cast("long").alias("shard_count")).where("shard_count is not null")
+    return members, kept.select(F.col("shard").alias("shard_id"), "node_id"), count

@@ -97,30 +97,37 @@ def leader_changes(spark, d):
     return metrics.leader_changes(samples)
 
 
-_COMMANDS = """cmds AS (SELECT event_id AS seq, CASE event_id % 10 WHEN 0 THEN 'remove_member' WHEN 1 THEN 'add_member' WHEN 2 THEN 'register_member' ELSE 'set_shard_leader' END AS op,
- 'n' || (user_id % 9) AS node_id, 'a' || event_id AS addr, CASE WHEN event_id % 10 = 2 THEN 'c' || event_id END AS client_addr, event_id % 32 AS shard FROM events)"""
+_COMMANDS = """cmds AS (SELECT event_id AS seq, CASE event_id % 10 WHEN 0 THEN 'remove_member' WHEN 1 THEN 'add_member' WHEN 2 THEN 'register_member' WHEN 3 THEN 'set_shard_count' ELSE 'set_shard_leader' END AS op,
+ CASE WHEN event_id % 50 = 1 THEN '' ELSE 'n' || (user_id % 9) END AS node_id, 'a' || event_id AS addr, CASE WHEN event_id % 10 = 2 THEN 'c' || event_id END AS client_addr, event_id % 32 AS shard FROM events),
+ gone AS (SELECT node_id, max(seq) AS at FROM cmds WHERE op = 'remove_member' GROUP BY node_id)"""
 
 
 def _commands(spark, d):
     k = F.col("event_id") % 10
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     return table(spark, d, "events").select(
-        F.col("event_id").alias("seq"), F.when(k == 0, "remove_member").when(k == 1, "add_member").when(k == 2, "register_member").otherwise("set_shard_leader").alias("op"),
-        text("n", F.col("user_id") % 9).alias("node_id"), text("a", F.col("event_id")).alias("addr"), F.when(k == 2, text("c", F.col("event_id"))).alias("client_addr"), (F.col("event_id") % 32).alias("shard"),
+        F.col("event_id").alias("seq"), F.when(k == 0, "remove_member").when(k == 1, "add_member").when(k == 2, "register_member").when(k == 3, "set_shard_count").otherwise("set_shard_leader").alias("op"),
+        F.when(F.col("event_id") % 50 == 1, "").otherwise(text("n", F.col("user_id") % 9)).alias("node_id"), text("a", F.col("event_id")).alias("addr"), F.when(k == 2, text("c", F.col("event_id"))).alias("client_addr"), (F.col("event_id") % 32).alias("shard"),
     )
 
 
-@_c.query(f"WITH {_COMMANDS}, l AS (SELECT node_id, max_by(op, seq) AS op, max(seq) AS m FROM cmds WHERE op <> 'set_shard_leader' GROUP BY node_id) SELECT l.node_id, c.addr, c.client_addr FROM l JOIN cmds c ON c.seq = l.m WHERE l.op <> 'remove_member'")
+@_c.query(f"""WITH {_COMMANDS}, alive AS (SELECT c.* FROM cmds c LEFT JOIN gone g USING (node_id) WHERE c.node_id <> '' AND c.op IN ('add_member', 'register_member') AND c.seq > coalesce(g.at, -1))
+ SELECT node_id, arg_max(addr, seq) AS addr, arg_max(client_addr, seq) FILTER (op = 'register_member') AS client_addr FROM alive GROUP BY node_id""")
 def fold_members(spark, d):
     return metrics.fold_commands(_commands(spark, d))[0]
 
 
-@_c.query(f"""WITH {_COMMANDS}, s AS (SELECT shard, max_by(node_id, seq) AS node_id, max(seq) AS at FROM cmds WHERE op = 'set_shard_leader' GROUP BY shard)
- SELECT shard AS shard_id, node_id FROM s WHERE NOT EXISTS (SELECT 1 FROM cmds c WHERE c.op = 'remove_member' AND c.node_id = s.node_id AND c.seq > s.at)""")
+@_c.query(f"""WITH {_COMMANDS}, s AS (SELECT shard, arg_max(node_id, seq) AS node_id, max(seq) AS at FROM cmds WHERE op = 'set_shard_leader' AND node_id <> '' GROUP BY shard)
+ SELECT shard AS shard_id, node_id FROM s WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.node_id = s.node_id AND g.at > s.at)""")
 def fold_shard_leaders(spark, d):
     return metrics.fold_commands(_commands(spark, d))[1]
 
 
+@_c.query(f"WITH {_COMMANDS} SELECT arg_max(shard, seq)::BIGINT AS shard_count FROM cmds WHERE op = 'set_shard_count' HAVING count(*) > 0")
+def fold_shard_count(spark, d):
+    return metrics.fold_commands(_commands(spark, d))[2]
+
+
 @_c.query("""SELECT p_partkey, CASE WHEN position(':' IN x) > 1 AND position(':' IN x) < length(x) THEN left(x, position(':' IN x) - 1) END AS name, CASE WHEN position(':' IN x) > 1 AND position(':' IN x) < length(x) THEN ltrim(substr(x, position(':' IN x) + 1), ' ' || chr(9)) END AS value
  FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'X-Part: ' || p_partkey WHEN 1 THEN ':' || p_partkey WHEN 2 THEN 'X-Empty:' ELSE 'A:b:' || p_partkey END AS x FROM part)""")
 def parse_headers(spark, d):

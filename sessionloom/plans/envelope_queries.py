@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sessionloom.functions.scalar import dlq_topic, is_dlq, session_key, trace_id
+from sessionloom.functions.scalar import TRACE_PREFIX, dlq_topic, is_dlq, session_key, trace_id
 from sessionloom.operators import envelope as env
 from sessionloom.plans.catalog import Catalog
 from sessionloom.plans.tables import EVENTS_SQL, events, keyed, with_messages
@@ -21,17 +21,17 @@ def _defective(spark, d):
     k = F.col("seq") % 7
     e = events(spark, d)
     return e.select(
-        "seq", "tenant", "session_id", "attempt", "payload", k.alias("defect"),
+        "seq", "topic", "tenant", "session_id", "attempt", "payload", k.alias("defect"),
         F.when(k == 1, "  ").otherwise(F.col("type")).alias("type"), F.when(k == 2, "").otherwise(F.col("agent_id")).alias("agent_id"), F.when(k == 3, "").otherwise(F.col("project")).alias("project"),
     )
 
 
-def _texts(spark, d):
+def envelopes(spark, d):
     f = _defective(spark, d)
     e = {c: F.col(c) for c in ("type", "tenant", "project", "session_id", "agent_id", "attempt", "payload")} | {"version": F.lit("v1"), "step": F.lit(""), "created_at": F.lit("2026-04-03T10:00:00Z")}
     text = env.encode(e)
     text = F.when(F.col("defect") == 4, F.regexp_replace(text, '"tenant":"[^"]*"', '"tenant":5')).when(F.col("defect") == 5, F.concat(text, F.lit(" x"))).when(F.col("defect") == 6, F.concat(F.lit(" "), text)).otherwise(text)
-    return f.select("seq", "defect", "tenant", text.alias("text"))
+    return f.select("seq", "topic", "defect", "tenant", text.alias("text"))
 
 
 @_c.query(f"""WITH {EVENTS_SQL}, {_BROKEN} SELECT seq, CASE WHEN trim(type) = '' THEN 'event type is required' WHEN trim(tenant) = '' THEN 'event tenant is required' WHEN trim(project) = '' THEN 'event project is required'
@@ -42,36 +42,36 @@ def validate_errors(spark, d):
 
 @_c.query(f"WITH {EVENTS_SQL} SELECT seq, seq % 7 NOT IN (1, 2, 3, 4, 5) AS is_event FROM ev")
 def parse_event(spark, d):
-    return env.with_validity(_texts(spark, d), "text").select("seq", "is_event")
+    return env.with_validity(envelopes(spark, d), "text").select("seq", "is_event")
 
 
 @_c.query(f"WITH {EVENTS_SQL} SELECT seq, seq % 7 NOT IN (4, 5, 6) AS can_peek FROM ev")
 def peek_event(spark, d):
-    return env.with_validity(_texts(spark, d), "text").select("seq", "can_peek")
+    return env.with_validity(envelopes(spark, d), "text").select("seq", "can_peek")
 
 
 @_c.query(f"WITH {EVENTS_SQL} SELECT seq, seq % 7 NOT IN (4, 5) AS can_decode, CASE WHEN seq % 7 NOT IN (4, 5) THEN session_id END AS session_id FROM ev")
 def decode_event(spark, d):
-    return env.with_validity(_texts(spark, d), "text").select("seq", "can_decode", F.when(F.col("can_decode"), F.col("e.session_id")).alias("session_id"))
+    return env.with_validity(envelopes(spark, d), "text").select("seq", "can_decode", F.when(F.col("can_decode"), F.col("e.session_id")).alias("session_id"))
 
 
 @_c.query(f"WITH {EVENTS_SQL} SELECT seq, seq % 7 NOT IN (4, 5) AND tenant = 't2' AS fits FROM ev")
 def session_filter(spark, d):
-    return env.with_validity(_texts(spark, d), "text").select("seq", env.filter_fits(tenant="t2").alias("fits"))
+    return env.with_validity(envelopes(spark, d), "text").select("seq", env.filter_fits(tenant="t2").alias("fits"))
 
 
 @_c.query(f"""WITH {EVENTS_SQL}, {_BROKEN} SELECT seq, '{{"version":"v1","type":"' || type || '","tenant":"' || tenant || '","project":"' || project || '","session_id":"' || session_id || '","agent_id":"' || agent_id || '","attempt":' || attempt || ',"created_at":"2026-04-03T10:00:00Z","payload":' || payload || '}}' AS text FROM broken WHERE defect <= 3""")
 def encode_envelope(spark, d):
-    return _texts(spark, d).where("defect <= 3").select("seq", "text")
+    return envelopes(spark, d).where("defect <= 3").select("seq", "text")
 
 
-@_c.query(f"WITH {EVENTS_SQL} SELECT key, left(sha256('agentbus/session/' || key), 32) AS trace_id FROM hashes")
+@_c.query(f"WITH {EVENTS_SQL} SELECT key, left(sha256('{TRACE_PREFIX}' || key), 32) AS trace_id FROM hashes")
 def session_trace_id(spark, d):
     e = events(spark, d).select(session_key(F.col("tenant"), F.col("project"), F.col("session_id")).alias("key")).distinct()
     return e.select("key", trace_id(F.col("key")).alias("trace_id"))
 
 
-@_c.query(f"""WITH {EVENTS_SQL} SELECT seq, left(sha256('agentbus/session/' || key), 32) AS trace_id, x.k AS name, x.v AS value FROM keyed,
+@_c.query(f"""WITH {EVENTS_SQL} SELECT seq, left(sha256('{TRACE_PREFIX}' || key), 32) AS trace_id, x.k AS name, x.v AS value FROM keyed,
  LATERAL (VALUES ('agent.session.tenant', tenant), ('agent.session.project', project), ('agent.session.id', session_id), ('agent.event.type', type), ('agent.id', agent_id), ('agent.event.attempt', attempt::VARCHAR)) x(k, v)""")
 def span_attributes(spark, d):
     e = events(spark, d).withColumn("step", F.lit(""))

@@ -86,8 +86,9 @@ def fetch_page(spark, d):
 
 
 @_c.query(with_messages(f""", {_DETAIL}, found AS (SELECT topic, partition, "offset", seq, head, tail FROM messages JOIN detail USING (topic, partition)
- WHERE topic = '{TOPIC}' AND partition = 0 AND "offset" >= greatest(10, head) AND "offset" < greatest(10, head) + 700 AND tenant = 't2' ORDER BY "offset" LIMIT 40)
- SELECT *, (CASE WHEN (SELECT count(*) FROM found) >= 40 THEN (SELECT max("offset") + 1 FROM found) ELSE least(greatest(10, head) + 700, tail) END)::BIGINT AS next_offset FROM found"""))
+ WHERE topic = '{TOPIC}' AND partition = 0 AND "offset" >= greatest(10, head) AND "offset" < greatest(10, head) + 700 AND tenant = 't2' ORDER BY "offset" LIMIT 40),
+ page AS (SELECT *, (CASE WHEN (SELECT count(*) FROM found) >= 40 THEN (SELECT max("offset") + 1 FROM found) ELSE least(greatest(10, head) + 700, tail) END)::BIGINT AS next_offset FROM found)
+ SELECT *, next_offset - greatest(10, head) AS scanned FROM page"""))
 def fetch_filtered(spark, d):
     return log.fetch_filtered(messages(spark, d), TOPIC, 0, 10, log.session_is(tenant="t2"), 40, 700, KEPT)
 
@@ -102,9 +103,12 @@ def http_fetch(spark, d):
     return log.http_fetch(messages(spark, d), TOPIC, 2, 3, 500)
 
 
-@_c.query(with_messages(f", {_DETAIL} SELECT topic, count(*)::INTEGER AS n_partitions, sum(tail - head)::BIGINT AS total FROM detail GROUP BY topic"))
+@_c.query(with_messages(f""", {_DETAIL} SELECT topic, count(*)::INTEGER AS n_partitions, sum(tail - head)::BIGINT AS total,
+ string_agg(partition || ':' || head || ':' || tail || ':' || (tail - head) || ':' || head, ',' ORDER BY partition) AS partitions FROM detail GROUP BY topic"""))
 def topic_stats(spark, d):
-    return log.topic_stats(log.partition_detail(messages(spark, d), KEPT)).select("topic", "n_partitions", "total")
+    """The nested partitions as text: partition, head, tail, size, evictions."""
+    shown = F.transform("partitions", lambda p: F.concat_ws(":", p["partition"], p["head"], p["tail"], p["size"], p["evictions"]))
+    return log.topic_stats(log.partition_detail(messages(spark, d), KEPT)).select("topic", "n_partitions", "total", F.array_join(shown, ",").alias("partitions"))
 
 
 @_c.query(with_messages("SELECT DISTINCT topic FROM messages"))
@@ -124,12 +128,21 @@ def batch_ack(spark, d):
 _REPLAY = """SELECT "offset", seq, type, agent_id, attempt, payload, ((epoch_us(ts) - first_value(epoch_us(ts)) OVER (ORDER BY "offset")) // 1000)::BIGINT AS elapsed_ms FROM messages"""
 
 
+def replay(spark, d, tenant, project, session):
+    partition = spark.range(1).select(bucket_of(session_key(F.lit(tenant), F.lit(project), F.lit(session)), 3)).first()[0]
+    out = log.session_replay(messages(spark, d), tenant, project, session, partition, AGENT_TOPIC)
+    return out.select("offset", "seq", "type", "agent_id", "attempt", "payload", "elapsed_ms").orderBy("offset")
+
+
 @_c.query(with_messages(f"{_REPLAY} WHERE topic = '{TOPIC}' AND tenant = 't2' AND project = 'support-bot' AND session_id = 'sess-42'"))
 def session_replay(spark, d):
-    tenant, project, session = SESSION
-    key = spark.range(1).select(bucket_of(session_key(*map(F.lit, SESSION)), 3)).first()[0]
-    out = log.session_replay(messages(spark, d), tenant, project, session, key, AGENT_TOPIC)
-    return out.select("offset", "seq", "type", "agent_id", "attempt", "payload", "elapsed_ms").orderBy("offset")
+    return replay(spark, d, *SESSION)
+
+
+def first_session_replay(spark, d):
+    """The session of the log's first event, whatever the table holds."""
+    first = messages(spark, d).where(F.col("topic") == AGENT_TOPIC).agg(F.min_by(F.struct("tenant", "project", "session_id"), "seq").alias("s")).select("s.*").first()
+    return replay(spark, d, *first)
 
 
 @_c.query("SELECT conv_id, turn, role, text, turn - first_value(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS since_first FROM conversations")
@@ -146,10 +159,12 @@ def session_elapsed(spark, d):
     return log.elapsed(messages(spark, d).where(F.col("topic") == TOPIC)).select("tenant", "session_id", "topic", "offset", "elapsed_ms")
 
 
-@_c.query(with_messages("""SELECT seq, '[' || strftime(ts, '%H:%M:%S.') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') || '] off=' || rpad("offset"::VARCHAR, greatest(6, length("offset"::VARCHAR))::INTEGER, ' ') || ' ' || rpad(type, greatest(14, length(type))::INTEGER, ' ') || ' ' || CASE WHEN attempt > 1 THEN ' (attempt ' || attempt || ')' ELSE '' END || ' agent=planner' AS line FROM messages"""))
+@_c.query(with_messages("""SELECT seq, '[' || strftime(ts, '%H:%M:%S.') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') || '] off=' || rpad("offset"::VARCHAR, greatest(6, length("offset"::VARCHAR))::INTEGER, ' ') || ' ' || rpad(type, greatest(14, length(type))::INTEGER, ' ')
+ || CASE WHEN seq % 3 = 0 THEN ' search' ELSE '' END || CASE WHEN attempt > 1 THEN ' (attempt ' || attempt || ')' ELSE '' END || '  agent=planner'
+ || chr(10) || '    {' || chr(10) || '      "k": ' || json_extract_string(payload, '$.k') || chr(10) || '    }' AS line FROM messages"""))
 def render_pretty(spark, d):
-    m = messages(spark, d).withColumn("step", F.lit(None).cast("string"))
-    return m.select("seq", log.pretty({c: F.col(c) for c in ("ts", "offset", "type", "step", "attempt", "agent_id")}).alias("line"))
+    m = messages(spark, d).withColumn("step", F.when(F.col("seq") % 3 == 0, "search"))
+    return m.select("seq", log.pretty({c: F.col(c) for c in ("ts", "offset", "type", "step", "attempt", "agent_id", "payload")}).alias("line"))
 
 
 @_c.query(with_messages(""", c AS (SELECT topic, partition, max("offset") + 1 AS tail FROM messages GROUP BY ALL)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.scalar import AGENT_TOPIC, DLQ_SUFFIX, fnv1a32, session_key
-from sessionloom.operators.log import assign_offsets
+from sessionloom.operators.log import assign_offsets, store
+from sessionloom.sources import shared
 
 TENANTS, PARTITIONS, DLQ_EVERY = 5, 3, 10
 
@@ -28,14 +29,15 @@ def events(spark, sf_dir: str) -> DataFrame:
 
 
 def keyed(spark, sf_dir: str) -> DataFrame:
-    """Events with their session's key and the key's hash: hashed once for each session, not for each event."""
+    """Events with their session's key and the key's hash, row by row: no session gathers in one task."""
     e = events(spark, sf_dir).withColumn("key", session_key(F.col("tenant"), F.col("project"), F.col("session_id")))
-    hashes = e.select("key").distinct().withColumn("h", fnv1a32(F.col("key")))
-    return e.join(hashes, "key").withColumn("partition", (F.col("h") % PARTITIONS).cast("int"))
+    return e.withColumn("h", fnv1a32(F.col("key"))).withColumn("partition", (F.col("h") % PARTITIONS).cast("int"))
 
 
 def messages(spark, sf_dir: str) -> DataFrame:
-    return assign_offsets(keyed(spark, sf_dir))
+    """The numbered log, stored once a session by topic, partition and offset."""
+    log = assign_offsets(keyed(spark, sf_dir))
+    return shared.kept(spark, "log", f"{sf_dir}/events.parquet", lambda path: store(log, path), log.schema)
 
 
 FNV_SQL = "list_reduce(list_prepend(2166136261::UBIGINT, list_transform({octets}, lambda c: c::UBIGINT)), lambda h, b: (xor(h, b) * 16777619::UBIGINT) & 4294967295::UBIGINT)"

@@ -1,5 +1,6 @@
 """Fixed cases of the event-log operators."""
 
+import hashlib
 import json
 
 import pytest
@@ -42,7 +43,7 @@ def test_hash_goldens(spark):
     assert {r.k: r.h for r in df.select("k", scalar.fnv1a32(F.col("k")).alias("h")).collect()} == golden
     scalar.register(spark)
     assert {r.k: r.h for r in df.selectExpr("k", "fnv1a32(k) as h").collect()} == golden
-    assert spark.sql("select session_trace_id(session_key(' acme', 'bot', 'sess-42 ')), partition_for('user-42', 8)").first()[:] == ("1d2a230e2c1bb6cc748729d348dbe902", 3)
+    assert spark.sql("select session_trace_id(session_key(' acme', 'bot', 'sess-42 ')), partition_for('user-42', 8)").first()[:] == (hashlib.sha256(b"session/acme/bot/sess-42").hexdigest()[:32], 3)
 
 
 def test_ring_goldens(spark):
@@ -98,15 +99,45 @@ def test_cluster_rules(spark):
     replicas = spark.createDataFrame([(0, "self"), (0, "n2"), (0, "n3")], "shard_id long, replica string")
     acks = spark.createDataFrame([(0, "self", 5), (0, "n2", 3), (0, "n3", 4), (0, "gone", 1)], "shard_id long, replica string, acked long")
     assert metrics.high_water_mark(replicas, acks).first().mark == 3
-    commands = [(1, "register_member", "n1", "a", "c", None), (2, "add_member", "n2", "b", None, None), (3, "remove_member", "n1", None, None, None), (4, "set_shard_leader", "n3", None, None, 7)]
-    members, leaders = metrics.fold_commands(spark.createDataFrame(commands, "seq long, op string, node_id string, addr string, client_addr string, shard long"))
-    assert [r.node_id for r in members.collect()] == ["n2"] and [tuple(r) for r in leaders.collect()] == [(7, "n3")]
+
+
+def test_command_fold(spark):
+    commands = [
+        (1, "register_member", "n1", "a1", "c1", None), (2, "add_member", "n1", "a2", None, None), (3, "add_member", "n2", "b", None, None), (4, "register_member", "n4", "d", "c4", None),
+        (5, "set_shard_leader", "n4", None, None, 5), (6, "remove_member", "n4", None, None, None), (7, "add_member", "n4", "d2", None, None), (8, "add_member", "", "x", None, None),
+        (9, "set_shard_leader", "n3", None, None, 7), (10, "set_shard_leader", "", None, None, 7), (11, "remove_member", "n2", None, None, None), (12, "set_shard_count", None, None, None, 32),
+    ]
+    members, leaders, count = metrics.fold_commands(spark.createDataFrame(commands, "seq long, op string, node_id string, addr string, client_addr string, shard long"))
+    # adding keeps a registered client address, unless the member was removed in between
+    assert sorted(map(tuple, members.collect())) == [("n1", "a2", "c1"), ("n4", "d2", None)]
+    assert [tuple(r) for r in leaders.collect()] == [(7, "n3")] and [tuple(r) for r in count.collect()] == [(32,)]
 
 
 def test_bulk_counters(spark):
-    e = spark.range(40_000).select(F.when(F.col("id") % 10 == 0, "agent-events.dlq").otherwise("agent-events").alias("topic"), F.lit("tool.call").alias("type"), F.when(F.col("id") % 10 == 0, 2).otherwise(1).alias("attempt"))
-    out = {r.topic: (r.published, r.retries, r.dlq) for r in metrics.agent_counters(e).collect()}
-    assert out == {"agent-events": (36000, 0, 0), "agent-events.dlq": (4000, 4000, 4000)}
+    dead = F.col("id") % 10 == 0
+    payload = F.when(dead, event(attempt=2)).otherwise(event(attempt=1))
+    payload = F.when(F.col("id") >= 40_000, F.element_at(F.array(*map(F.lit, ("not json", "{}", event(agent_id="absent"), event(type="  "), event(tenant=5)))), (F.col("id") % 5 + 1).cast("int"))).otherwise(payload)
+    log_rows = spark.range(40_010).select(F.when(dead, "agent-events.dlq").otherwise("agent-events").alias("topic"), payload.alias("payload"), F.lit("other").alias("type"))
+    out = {(r.topic, r.type): (r.published, r.retries, r.dlq) for r in metrics.agent_counters(log_rows).collect()}
+    assert out == {("agent-events", "tool.call"): (36000, 0, 0), ("agent-events.dlq", "tool.call"): (4000, 4000, 4000)}
+
+
+def test_requests_are_checked(spark):
+    rows = ring(spark, 10, 64)
+    for topic, partition in (("", 0), ("t", -1)):
+        with pytest.raises(ValueError):
+            log.rpc_fetch(rows, topic, partition)
+    assert log.http_fetch(rows, "t", 0, 0).count() == 10 and log.http_fetch(rows, "t", 0, 0, 0).count() == 0
+
+
+def test_stored_log_is_pruned(spark, tmp_path):
+    rows = ring(spark, 100, 64).withColumns({"tenant": F.lit("a"), "project": F.lit("p"), "session_id": F.lit("s")})
+    log.store(rows, str(tmp_path / "log"), 10)
+    kept = spark.read.schema(rows.schema).parquet(str(tmp_path / "log"))
+    assert sorted(map(tuple, kept.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    replayed = log.session_replay(kept, "a", "p", "s", 0, "t", 5)
+    plan = spark._jvm.PythonSQLUtils.explainString(replayed._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(topic" in plan and "GreaterThanOrEqual(offset,5)" in plan, plan
 
 
 def test_stream_offsets_equal_batch(spark, tmp_path):
@@ -143,6 +174,12 @@ def test_webhook_tries():
 
 def test_log_rendering(spark):
     r = spark.sql("select timestamp'2024-01-01 10:20:30.123' ts, 7L offset, 'tool.call' type, 'search' step, 2L attempt, 'planner' agent_id")
-    assert r.select(log.pretty({c: F.col(c) for c in r.columns})).first()[0] == "[10:20:30.123] off=7      tool.call      search (attempt 2) agent=planner"
+    line = lambda df: df.select(log.pretty({c: F.col(c) for c in df.columns})).first()[0]
+    assert line(r) == "[10:20:30.123] off=7      tool.call      search (attempt 2)  agent=planner"
+    plain = r.withColumns({"step": F.lit(""), "attempt": F.lit(1), "ts": F.lit(None).cast("timestamp"), "created_at": F.expr("timestamp'2024-01-01 00:00:01'")})
+    assert line(plain) == "[00:00:01.000] off=7      tool.call       agent=planner"
+    body = lambda text: line(r.withColumn("payload", F.lit(text))).split("agent=planner", 1)[1]
+    assert body('{"b":[1.50,{}],"a":"x, {y}"}') == '\n    {\n      "b": [\n        1.50,\n        {}\n      ],\n      "a": "x, {y}"\n    }'
+    assert body("not json") == "\n    not json" and body("") == "" and body("x" * 4096) == "" and body("[]") == "\n    []"
     e = {k: F.lit(v) if not isinstance(v, dict) else F.lit(json.dumps(v)) for k, v in BASE.items()} | {"step": F.lit("")}
     assert json.loads(spark.range(1).select(envelope.encode(e)).first()[0]) == BASE

@@ -44,7 +44,8 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     out = __spark_entry__.entry(spark)
     assert out.columns == ["offset", "seq", "type", "agent_id", "attempt", "payload", "elapsed_ms"]
-    out.collect()
+    rows = out.collect()
+    assert rows and [r.offset for r in rows] == sorted({r.offset for r in rows}) and rows[0].elapsed_ms == 0
 
 
 def test_names():
