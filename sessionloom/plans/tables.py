@@ -18,7 +18,11 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark, sf_dir: str) -> DataFrame:
     """The events table as agent events, in the order of event_id."""
-    t = table(spark, sf_dir, "events")
+    return agent_events(table(spark, sf_dir, "events"))
+
+
+def agent_events(t: DataFrame) -> DataFrame:
+    """The same of any rows like the events table's, a stream's too."""
     topic = F.when(F.col("event_id") % DLQ_EVERY == 0, AGENT_TOPIC + DLQ_SUFFIX).otherwise(AGENT_TOPIC)
     return t.select(
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "value", F.col("props").alias("payload"), "user_id", topic.alias("topic"),

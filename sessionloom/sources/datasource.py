@@ -8,18 +8,15 @@ from __future__ import annotations
 import re
 
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, DataSourceStreamReader
 
 from sessionloom.sources import decode
 from sessionloom.sources.files import SHARD_SCHEMA, WAL_SCHEMA
-
-
-def _store(path: str):
-    return fs.FileSystem.from_uri(path) if re.match(r"^\w+://", path) else (fs.LocalFileSystem(), path)
+from sessionloom.sources.shared import store_of
 
 
 def _files(path: str) -> list[str]:
-    store, root = _store(path)
+    store, root = store_of(path)
     found = store.get_file_info(root)
     if found.type == fs.FileType.NotFound:
         return []
@@ -28,7 +25,7 @@ def _files(path: str) -> list[str]:
 
 
 def _content(path: str, name: str) -> bytes:
-    with _store(path)[0].open_input_file(name) as f:
+    with store_of(path)[0].open_input_file(name) as f:
         return f.read()
 
 
@@ -85,32 +82,56 @@ class ShardReader(DataSourceReader):
             yield _shard(partition.value), offset, payload
 
 
-class ShardStream(SimpleDataSourceStreamReader):
-    """Offsets are the next record of each shard file: what is there first, then what is appended."""
+class ShardRange(InputPartition):
+    def __init__(self, name: str, offset: int, begin: int, end: int):
+        self.name, self.offset, self.begin, self.end = name, offset, begin, end
+
+
+class ShardStream(DataSourceStreamReader):
+    """A stream's offset is, for each shard, how many records were seen and where the next one begins.
+
+    The driver reads sizes of records only, from where it was; tasks read the records between two offsets, a shard each.
+    """
 
     def __init__(self, options):
-        self.path, self.start = options["path"], int(options.get("from", 0))
+        self.path, self.start, self.seen = options["path"], int(options.get("from", 0)), {}
 
     def initialOffset(self):
         return {}
 
-    def _rows(self, start: dict, end: dict | None):
-        rows, reached = [], dict(start)
-        for name in _files(self.path):
-            if re.search(r"shard-\d+\.wal$", name):
-                key = str(_shard(name))
-                for offset, payload in decode.read_shard(_content(self.path, name), start.get(key, self.start)):
-                    if end is None or offset < end.get(key, 0):
-                        rows.append((int(key), offset, payload))
-                        reached[key] = offset + 1
-        return rows, reached
+    def _shards(self) -> dict[str, str]:
+        return {str(_shard(name)): name for name in _files(self.path) if re.search(r"shard-\d+\.wal$", name)}
+
+    def latestOffset(self):
+        store, _ = store_of(self.path)
+        for key, name in self._shards().items():
+            count, at = self.seen.get(key, (0, 0))
+            with store.open_input_file(name) as f:
+                size = f.size()
+                while at + 8 <= size:
+                    f.seek(at)
+                    n = decode.shard_size(f.read(4))
+                    if at + 8 + n > size:
+                        break
+                    count, at = count + 1, at + 8 + n
+            self.seen[key] = (count, at)
+        return {k: list(v) for k, v in self.seen.items()}
+
+    def partitions(self, start, end):
+        names, out = self._shards(), []
+        for key, (count, to) in end.items():
+            first, begin = start.get(key, (0, 0))
+            if count > first:
+                out.append(ShardRange(names[key], first, begin, to))
+        return out
 
-    def read(self, start):
-        rows, reached = self._rows(start, None)
-        return iter(rows), reached
-
-    def readBetweenOffsets(self, start, end):
-        return iter(self._rows(start, end)[0])
+    def read(self, partition):
+        with store_of(self.path)[0].open_input_file(partition.name) as f:
+            f.seek(partition.begin)
+            data = f.read(partition.end - partition.begin)
+        for offset, payload in decode.read_shard(data):
+            if partition.offset + offset >= self.start:
+                yield _shard(partition.name), partition.offset + offset, payload
 
     def commit(self, end):
         pass
@@ -127,7 +148,7 @@ class ShardWalDataSource(DataSource):
     def reader(self, schema):
         return ShardReader(self.options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return ShardStream(self.options)
 
 

@@ -5,15 +5,17 @@ A binary log file is one task: records have no marks to start from in the middle
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.scalar import bucket_of
 from sessionloom.operators.log import assign_offsets
-from sessionloom.sources import decode
+from sessionloom.sources import decode, shared
 
 WAL_SCHEMA = "file string, seq long, version int, ts_ns long, topic string, key string, partition int, payload binary"
 SHARD_SCHEMA = "shard_id long, offset long, payload binary"
@@ -91,7 +93,7 @@ def rebuilt_log(records: DataFrame, partitions: int = 3) -> DataFrame:
 
 def group_offsets(spark, path: str) -> DataFrame:
     """(topic, grp, partition, committed) of an offsets file, a JSON map of topic::group::pN; none if it isn't there."""
-    files = _binary(spark, path, "*").select(F.col("content").cast("string").alias("text"))
+    files = _binary(spark, path, "[!_.]*").select(F.col("content").cast("string").alias("text"))
     pairs = files.select(F.explode(F.from_json("text", "map<string, long>")).alias("k", "committed"))
     part = lambda k: F.regexp_extract("k", r"(?s)^(.*)::(.*)::p(\d+)$", k)
     return pairs.select(part(1).alias("topic"), part(2).alias("grp"), part(3).cast("int").alias("partition"), "committed")
@@ -99,7 +101,7 @@ def group_offsets(spark, path: str) -> DataFrame:
 
 def cluster_snapshot(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, shard leaders, shard count) of a metadata snapshot: typed members, or in the first version a map id -> address."""
-    text = _binary(spark, path, "*").select(F.col("content").cast("string").alias("t"))
+    text = _binary(spark, path, "[!_.]*").select(F.col("content").cast("string").alias("t"))
     old, new = "map<string, string>", "map<string, struct<addr: string, client_addr: string>>"
     s = text.select(
         F.coalesce(F.get_json_object("t", "$.version").cast("int"), F.lit(1)).alias("version"), F.get_json_object("t", "$.members").alias("m"),
@@ -112,20 +114,37 @@ def cluster_snapshot(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]
 
 def write_wal(df: DataFrame, path: str) -> None:
     """Rows (ts_ns, topic, key, partition, payload) as checked records, one file a task, in a folder that tasks share."""
-    import os
-    import uuid
-
-    os.makedirs(path, exist_ok=True)
 
     def run(batches):
-        name = f"{path}/{uuid.uuid4().hex}"
         n = 0
-        with open(f"{name}.part", "wb") as out:
+
+        def records():
+            nonlocal n
             for batch in batches:
                 for r in batch.to_pylist():
-                    out.write(decode.wal_record(r["ts_ns"], r["topic"], r["key"] or "", r["partition"], bytes(r["payload"])))
                     n += 1
-        os.replace(f"{name}.part", f"{name}.wal")
+                    yield decode.wal_record(r["ts_ns"], r["topic"], r["key"] or "", r["partition"], bytes(r["payload"]))
+
+        shared.put(path, f"part-{TaskContext.get().partitionId():06d}.wal", records())
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     df.select("ts_ns", "topic", "key", "partition", F.col("payload").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def write_shard_wal(df: DataFrame, path: str) -> None:
+    """Rows (shard_id, seq, payload) as one file a shard, records in order of seq: the format keeps a shard's log in one file."""
+
+    def run(batches):
+        rows = ((s, p) for batch in batches for s, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for shard, mine in itertools.groupby(rows, key=lambda r: r[0]):
+            shared.put(path, f"shard-{shard}.wal", (decode.shard_record(bytes(p)) for _, p in mine))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64())], names=["n"])
+
+    ordered = df.repartition("shard_id").sortWithinPartitions("shard_id", "seq").select(F.col("shard_id").cast("long"), F.col("payload").cast("binary"))
+    ordered.mapInArrow(run, "n long").agg(F.count("*")).collect()
+
+
+def write_group_offsets(commits: DataFrame, path: str) -> None:
+    """(topic, grp, partition, committed) as an offsets file: one JSON map, as small as the number of groups and partitions."""
+    key = F.concat_ws("::", "topic", "grp", F.concat(F.lit("p"), "partition"))
+    commits.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, F.col("committed").cast("long"))))).alias("value")).write.text(path)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame
 
 
@@ -25,13 +26,37 @@ def fresh_path(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def store_of(path: str):
+    """(file system, path in it) for tasks; a path without a scheme is a mounted folder."""
+    return fs.FileSystem.from_uri(path) if re.match(r"^\w+:/", path) else (fs.LocalFileSystem(), path)
+
+
+def put(path: str, name: str, parts) -> None:
+    """A file made of byte strings, complete or absent: a repeated task puts the same bytes under the same name."""
+    where, root = store_of(path)
+    where.create_dir(root, recursive=True)
+    passing = f"{root}/.{uuid.uuid4().hex}"
+    with where.open_output_stream(passing) as out:
+        for part in parts:
+            out.write(part)
+    where.move(passing, f"{root}/{name}")
+
+
 _kept: dict[tuple, str] = {}
 
 
+def _status(spark, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop)
+
+
 def changed_at(spark, path: str) -> int:
     """When a file or folder last changed."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).getModificationTime()
+    return _status(spark, path).getModificationTime()
+
+
+def is_folder(spark, path: str) -> bool:
+    return _status(spark, path).isDirectory()
 
 
 def kept(spark, name: str, source: str, write: Callable[[str], None], schema) -> DataFrame:

@@ -86,3 +86,17 @@ def test_offsets_and_snapshot(spark, tmp_path):
     (tmp_path / "v2.json").write_text('{"version":2,"members":{"n1":{"addr":"a:1","client_addr":"c:1"}},"shard_leaders":{},"shard_count":32}')
     members, leaders, count = files.cluster_snapshot(spark, str(tmp_path / "v2.json"))
     assert (list(map(tuple, members.collect())), leaders.count(), count.first()[0]) == ([("n1", "a:1", "c:1")], 0, 32)
+
+
+def test_checksum_of_any_length():
+    import random
+
+    rng = random.Random(3)
+    for n in (0, 1, 9, 63, 64, 65, 1023, 1024, 1027, 1088, 5000):
+        data, plain = rng.randbytes(n), 0xFFFFFFFF
+        for byte in data:
+            plain ^= byte
+            for _ in range(8):
+                plain = plain >> 1 ^ (decode.CASTAGNOLI if plain & 1 else 0)
+        assert decode.crc32c(data) == plain ^ 0xFFFFFFFF
+    assert decode.crc32c(b"123456789") == 0xE3069283
