@@ -11,8 +11,8 @@ Skew: a map task sends one of the equal super-k-mers that it has seen and marks
 third of all documents costs its bucket one packed string a flush. A bucket's strings stay compressed in memory and are
 worked through in ``PASSES`` passes by minimiser.
 
-The order is (doc_id, start), strictly: rows of equal doc_id and text are equally early and keep the same words. A null
-doc_id counts as larger than any other. Null text has no words. Documents under ``window`` words stay whole. An empty table
+The order is (doc_id, start), strictly: rows of equal doc_id and text are equally early and keep the same words. Rows of
+null doc_id come after all others, in order of a hash of their text. Null text has no words. Documents under ``window`` words stay whole. An empty table
 gives none.
 """
 
@@ -32,7 +32,6 @@ from sessionloom.llm.textwords import U64, Words, grams, mix, powers, window_gra
 WINDOW, M = 20, 3
 #: Bytes of text a map task gathers before it sends, and bytes of the whole corpus for each bucket.
 FLUSH, BUCKET, PASSES = 8 << 20, 4 << 20, 4
-LAST = (1 << 63) - 1
 _BASE = 0x2545F4914F6CDD1D
 
 
@@ -54,6 +53,11 @@ def text_keys(words: Words, h: np.ndarray) -> np.ndarray:
     return run_hashes(h, words.first[:-1], words.first[1:]).astype(np.int64)
 
 
+def row_keys(words: Words, h: np.ndarray, nameless: np.ndarray) -> np.ndarray:
+    """32 bits that tell rows of one number apart: the highest for a null doc_id, then bits of the words' hash."""
+    return text_keys(words, h) & 0x7FFFFFFF | nameless.astype(np.int64) << 31
+
+
 def super_kmers(words: Words, h: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, last window (by word number) and mixed minimiser of each super-k-mer."""
     n = len(h) - window + 1
@@ -89,8 +93,8 @@ class Outbox:
         if not len(a):
             return
         owner = np.searchsorted(words.first, a, side="right") - 1
-        numbers = np.array([LAST if i is None else i for i in ids], np.int64)[owner]
-        keys = text_keys(words, h)[owner]
+        numbers = np.array([i["number"] for i in ids], np.int64)[owner]
+        keys = row_keys(words, h, np.array([i["nameless"] for i in ids], bool))[owner]
         same = run_hashes(h, a, b + window)
         self.held.append((numbers, a - words.first[owner], b - a + 1, keys, least, same, words.starts[a], words.ends[b + window - 1], words.blob))
 
@@ -103,15 +107,16 @@ class Outbox:
         source = np.repeat(np.arange(len(self.held)), [len(x[0]) for x in self.held])
         blobs = [x[8] for x in self.held]
         self.held, self.bytes = [], 0
-        order = np.lexsort((at, numbers, same))
+        nameless = keys >> 31
+        order = np.lexsort((at, numbers, nameless, same))
         first = np.ones(len(order), bool)
         first[1:] = same[order][1:] != same[order][:-1]
         lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-        later = (numbers[order] > numbers[lead]) | (at[order] > at[lead])
+        later = (nameless[order] != nameless[lead]) | (numbers[order] != numbers[lead]) | (at[order] > at[lead])
         repeat = order[~first & later]
         rows = []
         if len(repeat):
-            rows.append((-1, np.stack((numbers[repeat], keys[repeat] & 0xFFFFFFFF, at[repeat], at[repeat] + count[repeat] + window - 1)).astype(np.int64).tobytes()))
+            rows.append((-1, np.stack((numbers[repeat], keys[repeat], at[repeat], at[repeat] + count[repeat] + window - 1)).astype(np.int64).tobytes()))
         # rows of one doc_id may tie for the first place: each of them goes on, so that all get the same verdict
         send = order[first | ~later]
         send.sort()
@@ -148,7 +153,7 @@ def bucket_repeats(blobs: list[bytes], window: int) -> list[np.ndarray]:
         if not texts:
             continue
         doc, at, key = np.concatenate(heads, axis=1)
-        order = np.lexsort((at, doc))
+        order = np.lexsort((at, doc, key >> 31))
         doc, at, key = doc[order], at[order], key[order]
         words = Words([texts[k] for k in order.tolist()])
         del texts
@@ -167,7 +172,7 @@ def bucket_repeats(blobs: list[bytes], window: int) -> list[np.ndarray]:
         lead = ranked[np.maximum.accumulate(np.where(first, np.arange(len(ranked)), 0))]
         place = at[mine] + offset
         flagged = np.zeros(len(ranked), bool)
-        flagged[ranked] = ~first & ((doc[mine[ranked]] > doc[mine[lead]]) | (place[ranked] > place[lead]))
+        flagged[ranked] = ~first & ((key[mine[ranked]] >> 31 != key[mine[lead]] >> 31) | (doc[mine[ranked]] != doc[mine[lead]]) | (place[ranked] > place[lead]))
         # consecutive flagged windows of a string are one span
         begins = flagged & ~(np.append(False, flagged[:-1]) & (offset > 0))
         stops = flagged & ~(np.append(flagged[1:], False) & (np.append(offset[1:], 0) > 0))
@@ -180,8 +185,7 @@ def bucket_repeats(blobs: list[bytes], window: int) -> list[np.ndarray]:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFrame:
     """(doc_id, key, spans): the word spans of each document that repeat earlier text, as packed (from, to) pairs.
 
-    docs: (doc_id, text). doc_id is LAST where it is null; key is 32 bits of the hash of the
-    document's words, which tells rows apart that share a doc_id.
+    docs: (id: struct of number and nameless, text). doc_id is the number; key has ``row_keys``.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + total // BUCKET
@@ -232,9 +236,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFra
 
 def _with_spans(docs: DataFrame, window: int, m: int) -> DataFrame:
     """docs (number, text and others) with the packed spans of each row, null without any."""
-    read = docs.select(F.coalesce("__id", F.lit(LAST)).alias("doc_id"), F.col("__text").alias("text"))
+    # rows without an id go by their text, after all others
+    numbered = docs.withColumns({"__number": F.coalesce("__id", F.xxhash64("__text")), "__nameless": F.col("__id").isNull()})
+    read = numbered.select(F.struct(F.col("__number").alias("number"), F.col("__nameless").alias("nameless")).alias("id"), F.col("__text").alias("text"))
     found = arrowio.stage(repeated_spans(read, window, m))
-    return docs.join(found.groupBy("doc_id").agg(F.collect_list(F.struct("key", "spans")).alias("__spans")), F.coalesce("__id", F.lit(LAST)) == F.col("doc_id"), "left").drop(found["doc_id"])
+    spans = found.groupBy("doc_id", (F.shiftright("key", 31) == 1).alias("of_nameless")).agg(F.collect_set(F.struct("key", "spans")).alias("__spans"))
+    return numbered.join(spans, (F.col("__number") == F.col("doc_id")) & (F.col("__nameless") == F.col("of_nameless")), "left").select(*docs.columns, "__spans")
 
 
 def kept_words(text: bytes | None, spans: list | None, words: Words | None = None) -> tuple[int, list[bytes]]:
@@ -243,11 +250,11 @@ def kept_words(text: bytes | None, spans: list | None, words: Words | None = Non
         all_words = (text or b"").split()
         return len(all_words), all_words
     words = Words([text])
-    key = int(text_keys(words, words.hashes())[0]) & 0xFFFFFFFF
+    key = int(text_keys(words, words.hashes())[0]) & 0x7FFFFFFF
     keep = np.ones(len(words.starts) + 1, np.int64)
     keep[:] = 0
     for s in spans:
-        if s["key"] == key:
+        if s["key"] & 0x7FFFFFFF == key:
             both = np.frombuffer(s["spans"], np.int32).reshape(-1, 2)
             np.add.at(keep, both[:, 0], 1)
             np.add.at(keep, both[:, 1], -1)
