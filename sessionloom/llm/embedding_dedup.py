@@ -15,13 +15,14 @@ How many trees there are follows the table: ``QUERIES`` vectors are multiplied w
 one leaf that holds all.
 
 Components come from the distributed union of the links. Null or zero vectors, or ones holding null or non-finite values,
-or whose length is not that of most of the sample, link with nothing. Repeated ids are one
+link with nothing, and vectors of different widths don't link. A width of at most ``TILE`` vectors is one leaf. Repeated ids are one
 number: links between its rows don't count, its links to others add up over its rows, and each row gets the number's result.
 Labels aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, replace
@@ -239,18 +240,84 @@ def tiles_of(sizes: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int
     return out
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, forest: Forest = Forest(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row."""
-    read = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    usable = read.where("vec_id is not null and v is not null and size(v) > 0")
+def links_of(found: DataFrame, width: int | None, cosine: float) -> DataFrame:
+    """(vec_id, n, other) from dealt rows: counts of links by id, other being null, and links that span them.
+
+    width: of vectors that may come in single precision; without one all come as double-precision unit vectors.
+    """
+
+    def unit(value: bytes) -> np.ndarray:
+        return _clean(np.frombuffer(value, np.float32).tolist()) if width and len(value) == 4 * width else np.frombuffer(value)
+
+    @arrowio.lean
+    def link(batches):
+        key, held = None, []
+        counts: Counter = Counter()
+        ties: list[tuple[int, int]] = []
+
+        def done():
+            if len(held) > 1:
+                ids = np.array([h[1] for h in held])
+                x = np.array([unit(h[3]) for h in held])
+                lists = [np.frombuffer(h[2], np.uint32) for h in held]
+                leaf, first, second = key
+                more, tied = tile_links(ids, x, lists, np.array([h[0] for h in held]), leaf >> 32 << 20 | leaf & 0xFFFFF, first, second, cosine)
+                counts.update(more)
+                ties.extend(tied)
+
+        def out():
+            rows = [(i, n, None) for i, n in counts.items()] + [(a, 0, b) for a, b in ties]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            counts.clear()
+            ties.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["vec_id", "n", "other"])
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(7)]
+            for leaf, first, second, *rest in zip(*columns, strict=True):
+                if (leaf, first, second) != key:
+                    if key:
+                        done()
+                    key, held = (leaf, first, second), []
+                    if len(counts) + len(ties) > 100_000:
+                        yield out()
+                held.append(rest)
+        if key:
+            done()
+        yield out()
+
+    dealt = found.repartition("leaf", "first", "second").sortWithinPartitions("leaf", "first", "second")
+    return dealt.mapInArrow(link, "vec_id long, n long, other long")
+
+
+DEALT = "leaf long, first int, second int, tile int, vec_id long, leaves binary, v binary"
+
+
+def one_leaf(usable: DataFrame) -> DataFrame:
+    """Rows dealt to one leaf a width, for widths of few vectors."""
+
+    @arrowio.lean
+    def deal(batches):
+        for batch in batches:
+            rows = [(len(y), 0, 0, 0, i, np.array([len(y) & 0xFFFFF], np.uint32).tobytes(), y.tobytes()) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (y := _clean(v)) is not None]
+            if rows:
+                yield _dealt(rows)
+
+    return usable.mapInArrow(deal, DEALT)
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in DEALT.split(", ")])
+
+
+def in_forest(usable: DataFrame, width: int, number: int, cosine: float, forest: Forest) -> DataFrame:
+    """``links_of`` vectors of one width, met in the leaves of a forest."""
     sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(forest.sample).collect()
-    widths = Counter(len(r.v) for r in sample)
-    width = max(widths, key=lambda w: (widths[w], w)) if widths else 0
     clean = [(r.vec_id, y) for r in sample if (y := _clean(r.v, width)) is not None]
-    if not clean:
-        return read.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    context = vectors.sparkSession.sparkContext
-    trees = context.broadcast(pick(usable, clean, usable.count(), width, forest, cosine))
+    context = usable.sparkSession.sparkContext
+    trees = context.broadcast(pick(usable, clean, number, width, forest, cosine))
+
 
     @arrowio.lean
     def routed(batches):
@@ -295,55 +362,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, forest: Forest = Fo
                     for other in groups:
                         if other != mine or mine[0] < 0:
                             out += [(leaf, min(k, tile), max(k, tile), tile, i, blob, value) for k in range(other[1], other[1] + other[2])]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            names = ["leaf", "first", "second", "tile", "vec_id", "leaves", "v"]
             for k in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 20_000], strict=True), kinds, strict=True)], names=names)
-
-    dealt = usable.mapInArrow(deal, "leaf long, first int, second int, tile int, vec_id long, leaves binary, v binary")
-
-    def unit(value: bytes) -> np.ndarray:
-        return _clean(np.frombuffer(value, np.float32).tolist()) if len(value) == 4 * width else np.frombuffer(value)
-
-    @arrowio.lean
-    def link(batches):
-        key, held = None, []
-        counts: Counter = Counter()
-        ties: list[tuple[int, int]] = []
-
-        def done():
-            if len(held) > 1:
-                ids = np.array([h[1] for h in held])
-                x = np.array([unit(h[3]) for h in held])
-                lists = [np.frombuffer(h[2], np.uint32) for h in held]
-                leaf, first, second = key
-                more, tied = tile_links(ids, x, lists, np.array([h[0] for h in held]), leaf >> 32 << 20 | leaf & 0xFFFFF, first, second, cosine)
-                counts.update(more)
-                ties.extend(tied)
+                yield _dealt(out[k : k + 20_000])
 
-        def out():
-            rows = [(i, n, None) for i, n in counts.items()] + [(a, 0, b) for a, b in ties]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            counts.clear()
-            ties.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["vec_id", "n", "other"])
+    return links_of(usable.mapInArrow(deal, DEALT), width, cosine)
 
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(7)]
-            for leaf, first, second, *rest in zip(*columns, strict=True):
-                if (leaf, first, second) != key:
-                    if key:
-                        done()
-                    key, held = (leaf, first, second), []
-                    if len(counts) + len(ties) > 100_000:
-                        yield out()
-                held.append(rest)
-        if key:
-            done()
-        yield out()
 
-    found = dealt.repartition("leaf", "first", "second").sortWithinPartitions("leaf", "first", "second").mapInArrow(link, "vec_id long, n long, other long")
-    found = arrowio.stage(found)
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, forest: Forest = Forest(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row."""
+    read = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # what can link: finite and not all zero
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = read.where(F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0))
+    # each width has a forest of its own; those of a tile's vectors at most share a task by width
+    widths = {r.width: r.n for r in usable.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).collect()}
+    large = sorted(w for w, n in widths.items() if n > TILE)
+    parts = [in_forest(usable.where(F.size("v") == w), w, widths[w], cosine, forest) for w in large]
+    if len(large) < len(widths) or not parts:
+        parts.append(links_of(one_leaf(usable.where(~F.size("v").isin(large))), None, cosine))
+    found = arrowio.stage(functools.reduce(DataFrame.union, parts))
     counts = found.where("other is null").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     joined = components(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     both = read.select("vec_id").join(counts, "vec_id", "left").join(joined.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left")

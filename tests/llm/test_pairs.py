@@ -128,6 +128,20 @@ def test_substring_dedup_edge_cases(spark):
     assert substring_dedup.digest(df.limit(0)).collect() == []
 
 
+def test_substring_dedup_of_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BUCKET", 2000)
+    rng = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(30)) + f" u{k} {passage} {k}" for k in range(40)]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(9, passage + " end")] + [(None, texts[0])] * 3, "doc_id long, text string").repartition(3)
+    out = substring_dedup.digest(df).collect()
+    assert [(r.n_removed) for r in out if r.doc_id == 9] == [0]
+    assert sorted(r.n_removed for r in out if r.doc_id is None) == [30] * 43
+    # without the row that has an id, one text keeps the passage, and so do its copies
+    kept = [r.n_removed for r in substring_dedup.digest(df.where("doc_id is null")).collect()]
+    assert sorted(kept) in ([0] + [30] * 42, [0] * 4 + [30] * 39)
+
+
 def vectors_brute(rows, cosine=0.9):
     ok = [(i, np.array(v, float)) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)]
     links, joined = {i: 0 for i, _ in rows}, UnionFind()
@@ -156,6 +170,33 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert np.mean([out[k][1] == want[k][1] for k in out]) >= 0.95
 
 
+def test_vectors_of_several_widths(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 64)
+    rng = np.random.default_rng(5)
+    rows = []
+    for width, count in ((8, 200), (12, 150), (2, 30), (3, 5)):
+        base = rng.normal(size=(10, width))
+        rows += [(len(rows) + k, (base[k % 10] + rng.normal(size=width) * 0.05).tolist()) for k in range(count)]
+    rows += [(5000 + k, None) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, forest=embedding_dedup.Forest(leaf=32)).collect()}
+    by_width: dict = {}
+    for i, v in rows:
+        by_width.setdefault(len(v or ()), []).append((i, v))
+    assert out == {k: v for part in by_width.values() for k, v in vectors_brute(part).items()}
+
+
+def test_vectors_of_the_query_have_nine_tenths_of_all_links(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(1500, 32))
+    x = base[rng.integers(0, 1500, 6000)] + rng.normal(size=(6000, 32)) * rng.choice([0.05, 0.2, 0.3], (6000, 1))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = np.array([n for _, n in sorted((r.vec_id, r.n_links) for r in embedding_dedup.near_duplicates(df).collect())])
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
 def test_vectors_edge_cases(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert embedding_dedup.near_duplicates(df).collect() == []
