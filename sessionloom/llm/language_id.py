@@ -3,8 +3,8 @@
 A model holds, for each language, smoothed probabilities of hashed byte trigrams inside lower-cased words (a word is a run
 of letters; digits, punctuation and white space are one border symbol). A document is a mixture of languages whose words
 are drawn word by word: expectation-maximisation estimates the proportions from the words' likelihoods, for the one, two,
-... up to ``MOST`` languages of the largest shares, and the set of highest penalised likelihood (log-likelihood less
-``PENALTY`` times half the log of the number of words a further language) is kept. The prediction is the language of the
+... languages of the largest shares as long as a further one raises the penalised likelihood (log-likelihood less
+``PENALTY`` times half the log of the number of words a further language). The prediction is the language of the
 largest proportion and the score that proportion, between 0 and 1.
 
 Training counts every labelled row: trigram counts are summed in each task, then by Spark; at most languages x ``SLOTS``
@@ -25,7 +25,7 @@ from sessionloom.llm import arrowio
 from sessionloom.llm.textwords import U64, mix
 
 SLOTS, SMOOTH = 1 << 16, 0.1
-MOST, STEPS, PENALTY = 3, 8, 2.0
+STEPS, PENALTY = 8, 2.0
 #: Languages that a model may have; more distinct labels than this are an error.
 LANGUAGES = 256
 
@@ -80,11 +80,12 @@ def train(rows: DataFrame) -> dict:
     return {"languages": languages, "log": log.astype(np.float32)}
 
 
-def mixtures(texts: list[bytes | None], model: dict) -> list[dict[str, float]]:
-    """Each text's languages with their proportions, largest first; none for a text without a word."""
+def mixtures(texts: list[bytes | None], model: dict) -> list[tuple[dict[str, float], float]]:
+    """Each text's languages with their proportions, largest first, and how much better a trigram is explained by them than
+    by an even draw of all trigrams (in nats); no language and 0 for a text without a word."""
     languages, log = model["languages"], model["log"]
     slots, word_at, first = _trigrams(texts)
-    out: list[dict[str, float]] = [{} for _ in texts]
+    out: list[tuple[dict[str, float], float]] = [({}, 0.0) for _ in texts]
     have = np.flatnonzero(np.diff(first))
     if not len(have) or not languages:
         return out
@@ -95,28 +96,37 @@ def mixtures(texts: list[bytes | None], model: dict) -> list[dict[str, float]]:
     owner = np.repeat(np.arange(len(have)), np.diff(first)[have])
     base = np.add.reduceat(top[:, 0], at)
 
-    def expect(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def expect(share: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions and log-likelihood of the texts ``mine`` after some steps from ``share``."""
+        all_ = len(mine) == len(have)
+        rows = slice(None) if all_ else np.isin(owner, mine)
+        chances, of = chance[rows], owner if all_ else np.repeat(np.arange(len(mine)), sizes[mine].astype(np.int64))
+        starts = np.concatenate(([0], np.cumsum(sizes[mine])[:-1])).astype(np.int64)
         for _ in range(STEPS):
-            part = chance * share[owner]
+            part = chances * share[of]
             part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
-            share = np.add.reduceat(part, at, axis=0) / sizes[:, None]
-        return share, base + np.add.reduceat(np.log(np.maximum((chance * share[owner]).sum(1), 1e-300)), at)
+            share = np.add.reduceat(part, starts, axis=0) / sizes[mine, None]
+        return share, base[mine] + np.add.reduceat(np.log(np.maximum((chances * share[of]).sum(1), 1e-300)), starts)
 
-    everything, _ = expect(np.full((len(have), len(languages)), 1 / len(languages)))
+    everyone = np.arange(len(have))
+    everything, _ = expect(np.full((len(have), len(languages)), 1 / len(languages)), everyone)
     rank = np.argsort(np.argsort(-everything, axis=1, kind="stable"), axis=1)
-    best, score = None, None
-    for k in range(1, min(MOST, len(languages)) + 1):
-        allowed = rank < k
-        share, likelihood = expect(allowed / k)
-        value = likelihood - PENALTY * (k - 1) * 0.5 * np.log(sizes + 1)
-        if best is None:
-            best, score = share, value
-        else:
-            better = value > score
-            best[better], score[better] = share[better], value[better]
-    for k, row in zip(have.tolist(), best, strict=True):
+    best, likelihood = expect((rank < 1).astype(float), everyone)
+    value, asked = likelihood.copy(), everyone
+    # a further language as long as it pays, text by text
+    for k in range(2, len(languages) + 1):
+        share, found = expect((rank[asked] < k) / k, asked)
+        worth = found - PENALTY * (k - 1) * 0.5 * np.log(sizes[asked] + 1)
+        better = worth > value[asked]
+        asked = asked[better]
+        best[asked], value[asked], likelihood[asked] = share[better], worth[better], found[better]
+        if not len(asked):
+            break
+    letters = np.diff(np.append(word_at, len(slots))[np.append(at, len(word_at))])
+    gain = likelihood / letters + np.log(SLOTS)
+    for k, row, more in zip(have.tolist(), best, gain.tolist(), strict=True):
         order = np.argsort(-row, kind="stable")
-        out[k] = {languages[j]: min(1.0, float(row[j])) for j in order.tolist() if row[j] > 1e-6}
+        out[k] = {languages[j]: min(1.0, float(row[j])) for j in order.tolist() if row[j] > 1e-6}, more
     return out
 
 
@@ -124,15 +134,15 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text.decode())))
 
 
-def predictions(texts: list[bytes | None], model: dict) -> list[tuple[str, float, str]]:
-    """(language or und, score, all proportions as text) of each text."""
+def predictions(texts: list[bytes | None], model: dict) -> list[tuple[str, float, str, float]]:
+    """(language or und, score, all proportions as text, gain over an even draw) of each text."""
     out = []
-    for text, found in zip(texts, mixtures(texts, model), strict=True):
+    for text, (found, gain) in zip(texts, mixtures(texts, model), strict=True):
         if not found or not has_letter(text):
-            out.append(("und", 0.0, ""))
+            out.append(("und", 0.0, "", 0.0))
         else:
             lang = next(iter(found))
-            out.append((lang, found[lang], ",".join(f"{k}:{v:.3f}" for k, v in found.items() if v >= 0.0005)))
+            out.append((lang, found[lang], ",".join(f"{k}:{v:.3f}" for k, v in found.items() if v >= 0.0005), gain))
     return out
 
 
@@ -156,8 +166,9 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     return arrowio.map_chunks(arrowio.id_text(docs), kernel, "doc_id long, lang_pred string, score double, mixture string", 1 << 18)
 
 
-def keep_identified(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
-    """The rows, unchanged, whose text has a language of at least that share."""
+def keep_identified(docs: DataFrame, model: dict, gain: float = 0.0) -> DataFrame:
+    """The rows, unchanged, whose text has a language: one with letters that its mixture explains better than an even draw of
+    all trigrams does, by over ``gain`` nats a trigram. Texts of no learned language (random letters) go."""
     names, at = docs.columns, docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -167,7 +178,7 @@ def keep_identified(docs: DataFrame, model: dict, least: float = 0.3) -> DataFra
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
                 texts = [x.as_py() for x in part.column(at).cast(pa.large_binary())]
-                keep = [lang != "und" and score >= least for lang, score, _ in predictions(texts, shared.value)]
+                keep = [lang != "und" and more > gain for lang, _, _, more in predictions(texts, shared.value)]
                 yield pa.RecordBatch.from_arrays(part.filter(pa.array(keep)).columns, names=names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -282,10 +282,58 @@ def test_language_mixture(spark):
     assert (out[900].lang_pred, out[901].lang_pred, out[902].lang_pred) == ("und", "und", "bb") and 0.5 < out[902].score < 0.8
     kept = language_id.keep_identified(df, model)
     assert kept.columns == df.columns and kept.count() == len(rows) - 2
+    strange = df.limit(1).select(F.lit(1).cast("long").alias("doc_id"), F.lit("qjx vvkz wqxj zzkq pfgx hhvq xxjw").alias("text"), F.lit("aa").alias("lang"))
+    assert language_id.keep_identified(strange, model).count() == 0
     nothing = language_id.train(df.limit(0))
     assert {r.lang_pred for r in language_id.predict(df, nothing).collect()} == {"und"}
 
 
+def mixture_brute(text, model):
+    """Sets of languages grow by share in the full mixture as long as the penalised likelihood does; word by word in plain Python."""
+    slots, word_at, _ = language_id._trigrams([text])
+    words = [slots[a:b] for a, b in zip(word_at, [*word_at[1:], len(slots)], strict=True)]
+    log = [[sum(float(model["log"][lang, s]) for s in w) for lang in range(len(model["languages"]))] for w in words]
+
+    def expect(allowed):
+        share = {lang: 1 / len(allowed) for lang in allowed}
+        for _ in range(language_id.STEPS):
+            total = dict.fromkeys(allowed, 0.0)
+            for row in log:
+                part = {lang: share[lang] * math.exp(row[lang] - max(row)) for lang in allowed}
+                for lang in allowed:
+                    total[lang] += part[lang] / max(sum(part.values()), 1e-300)
+            share = {lang: total[lang] / len(log) for lang in allowed}
+        likelihood = sum(max(row) + math.log(max(sum(share[lang] * math.exp(max(row[lang] - max(row), -60)) for lang in allowed), 1e-300)) for row in log)
+        return share, likelihood
+
+    every, _ = expect(list(range(len(model["languages"]))))
+    ranked = sorted(every, key=lambda lang: -every[lang])
+    best, value = None, -math.inf
+    for k in range(1, len(ranked) + 1):
+        share, likelihood = expect(ranked[:k])
+        worth = likelihood - language_id.PENALTY * (k - 1) * 0.5 * math.log(len(words) + 1)
+        if worth <= value:
+            break
+        best, value = share, worth
+    return {model["languages"][lang]: p for lang, p in best.items()}
+
+
+def test_mixtures_match_brute_force():
+    rng = random.Random(12)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randint(3, 7))) for _ in range(12)] for lang, letters in (("a", "abcde"), ("b", "defgh"), ("c", "hijkl"), ("d", "lmnop"), ("e", "pqrst"))}
+    counts = np.zeros((5, language_id.SLOTS))
+    for k, lang in enumerate(sorted(words)):
+        counts[k] = np.bincount(language_id._trigrams([" ".join(rng.choices(words[lang], k=3000)).encode()])[0], minlength=language_id.SLOTS)
+    log = np.log(counts + language_id.SMOOTH) - np.log(counts.sum(1, keepdims=True) + language_id.SMOOTH * language_id.SLOTS)
+    model = {"languages": sorted(words), "log": log.astype(np.float32)}
+    texts = [" ".join(w for lang in rng.sample(sorted(words), n) for w in rng.choices(words[lang], k=rng.randint(3, 40))).encode() for n in (1, 2, 3, 4, 5) for _ in range(4)]
+    found = language_id.mixtures([*texts, None, b"12"], model)
+    assert found[-2:] == [({}, 0.0)] * 2 and max(len(f) for f, _ in found) >= 4
+    for text, (mixture, gain) in zip(texts, found, strict=False):
+        want = {lang: p for lang, p in mixture_brute(text, model).items() if p > 1e-6}
+        assert mixture == pytest.approx(want, abs=1e-4) and gain > 0
+
+
 # --- URLs
 
 
