@@ -3,7 +3,7 @@
 ``judge`` takes the longest fixed rule that fits a URL (host or any parent domain, path prefix). Where none fits, the
 method decides: Spark's FP-growth mines combinations of URL tokens from labelled URLs; those whose confidence and support
 for the label ``block`` reach the bounds, and that no subset already implies at equal or higher confidence, are block
-rules. They are matched by an inverted index: a rule's tokens are joined with the tokens of each distinct token set (not
+rules. They are matched by an inverted index: a rule's rarest token is joined with the tokens of each distinct token set (not
 each URL: a host that holds a third of all rows is matched once for each of its few token sets), and a rule whose tokens
 are all there fires. URLs that nothing blocks are allowed.
 
@@ -75,26 +75,61 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, bounds: Mining = Mining()) -> DataFrame:
-    """(rule_id, tokens, confidence, support) from rows (url, blocked boolean); rows with a null label don't count."""
-    known = labelled.where("blocked is not null")
-    baskets = known.select(F.concat(tokens_of(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
+def classes_of(sets: DataFrame, support: float) -> DataFrame:
+    """(token, class, n) of the tokens of at least that share of the URLs, from distinct token sets and their numbers of URLs
+    (tokens, urls); tokens that always stand together are one class, named by the first of them.
+
+    There are at most (tokens a URL) / support of them, whatever the number of URLs.
+    """
+    held = sets.select(F.xxhash64("tokens").alias("x"), F.xxhash64("tokens", F.lit(1)).alias("y"), "urls", F.explode("tokens").alias("token"))
+    found = held.groupBy("token").agg(F.sum("urls").alias("n"), *(F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in "xy"))
+    least = sets.agg((F.sum("urls") * support).alias("least"))
+    often = found.crossJoin(F.broadcast(least)).where("n >= least")
+    named = often.groupBy("n", "x", "y").agg(F.min("token").alias("class"), F.collect_list("token").alias("tokens"))
+    return named.select(F.explode("tokens").alias("token"), "class", "n")
+
+
+def in_classes(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(tokens, kinds): the classes of each distinct token set; sets without any are left out."""
+    held = sets.select("tokens", F.explode("tokens").alias("token")).join(classes.select("token", "class"), "token")
+    return held.groupBy("tokens").agg(F.array_sort(F.collect_set("class")).alias("kinds"))
+
+
+def mine(labelled: DataFrame, bounds: Mining = Mining()) -> tuple[DataFrame, DataFrame]:
+    """(rules, classes) from rows (url, blocked boolean): rules have rule_id, tokens (classes of tokens), confidence and
+    support; rows with a null label don't count.
+
+    Tokens that always stand together in labelled URLs are mined as one, so that a long path of one host makes one item, not
+    every combination of its parts; a class stands in a URL that has any of its tokens.
+    """
+    known = labelled.where("blocked is not null").select(tokens_of(F.col("url")).alias("tokens"), "blocked")
+    sets = known.groupBy("tokens").agg(F.count("*").alias("urls"))
+    classes = classes_of(sets, bounds.support)
+    none = F.array().cast("array<string>")
+    label = F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(none)
+    baskets = known.join(in_classes(sets, classes), "tokens", "left").select(F.concat(F.coalesce("kinds", none), label).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=bounds.support, minConfidence=bounds.confidence).fit(baskets)
-    rules = model.associationRules.where(F.array_contains("consequent", BLOCK))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    found = model.associationRules.where(F.array_contains("consequent", BLOCK))
+    rules = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     rules = rules.withColumn("rule_id", F.xxhash64(F.array_join("tokens", " ")))
-    # a rule that a subset of its tokens implies as surely adds nothing: found by the subset's tokens, once more an index
-    sizes = rules.select(F.col("rule_id").alias("small"), F.size("tokens").alias("n"), F.col("confidence").alias("surer"), F.explode("tokens").alias("token"))
-    whole = rules.select("rule_id", "confidence", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    pairs = whole.join(sizes, "token").where("n < m and surer >= confidence").groupBy("rule_id", "small", "n").agg(F.count("*").alias("hits"))
-    return rules.join(pairs.where("hits = n").select("rule_id").distinct(), "rule_id", "left_anti").select("rule_id", "tokens", "confidence", "support")
-
-
-def match(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(tokens, rule_id, confidence): the surest rule that fires for each token set; sets without one are left out."""
-    index = rules.select("rule_id", "confidence", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    hits = token_sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-    fired = hits.groupBy("tokens", "rule_id", "n", "confidence").agg(F.count("*").alias("hits")).where("hits = n")
+    # a rule that a part of its tokens implies as surely adds nothing: its parts are listed and looked up, not rules compared
+    parts = F.aggregate("tokens", F.array(none), lambda sets, t: F.concat(sets, F.transform(sets, lambda x: F.concat(x, F.array(t)))))
+    listed = rules.select("rule_id", "confidence", F.size("tokens").alias("m"), F.explode(parts).alias("part")).where("size(part) > 0 and size(part) < m")
+    surer = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("surer"))
+    implied = listed.join(surer, "part").where("surer >= confidence").select("rule_id").distinct()
+    return rules.join(implied, "rule_id", "left_anti").select("rule_id", "tokens", "confidence", "support"), classes
+
+
+def match(token_sets: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """(tokens, rule_id, confidence): the surest rule that fires for each token set; sets without one are left out.
+
+    A rule is indexed by its rarest class alone, and looked at for the sets that have it.
+    """
+    n = classes.groupBy("class").agg(F.max("n").alias("n"))
+    listed = rules.select("rule_id", "confidence", F.col("tokens").alias("wanted"), F.explode("tokens").alias("class")).join(n, "class")
+    index = listed.groupBy("rule_id", "confidence", "wanted").agg(F.min_by("class", F.struct("n", "class")).alias("class"))
+    hits = in_classes(token_sets, classes).select("tokens", "kinds", F.explode("kinds").alias("class")).join(index, "class")
+    fired = hits.where(F.size(F.array_except("wanted", "kinds")) == 0)
     return fired.groupBy("tokens").agg(F.max(F.struct("confidence", "rule_id")).alias("x")).select("tokens", "x.rule_id", "x.confidence")
 
 
@@ -105,7 +140,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, bounds: Mining = M
     text, verdict = fixed_rule(host, path, rules)
     read = pages.select(F.col("page_id"), url, host.alias("host"), path.alias("path"), text.alias("rule"), verdict.alias("fixed"), tokens_of(url).alias("tokens"))
     open_sets = read.where("rule is null and size(tokens) > 0").select("tokens").distinct()
-    fired = match(open_sets, mine(labelled, bounds)).select("tokens", F.col("rule_id").alias("mined_rule"))
+    fired = match(open_sets, *mine(labelled, bounds)).select("tokens", F.col("rule_id").alias("mined_rule"))
     joined = read.join(fired, "tokens", "left")
     mined = F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("fixed", mined).alias("verdict"), F.when(F.col("rule").isNull(), F.col("mined_rule")).alias("mined_rule"))

@@ -374,6 +374,39 @@ def test_url_rule_of_five_tokens(spark):
     assert out == {k: "allow" if k else "block" for k in range(6)}
 
 
+def _url_tokens(u):
+    m = re.match(r"^(.*?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", u, re.S)
+    host, path, query = m[2].lower(), m[3], m[4] or ""
+    labels = host.split(".")
+    out = {"h:" + ".".join(labels[k:]) for k in range(len(labels))} | ({"s:" + labels[0]} if len(labels) > 1 else set())
+    out |= {"p:" + x for x in path.split("/") if x and not re.search("[0-9]", x)} | {"q:" + x.split("=")[0] for x in query.split("&") if x}
+    return out | ({"e:" + x[1] for x in [re.search(r"\.([A-Za-z]+)$", path)] if x}) | ({"f:"} if "#" in u else set())
+
+
+def test_url_rules_match_brute_force(spark):
+    rng = random.Random(13)
+    hosts, parts = ["a.org", "b.a.org", "c.edu", "d.c.edu"], ["news", "promo", "win", "doc"]
+    draw = lambda: f"http://{rng.choice(hosts)}/" + "/".join(rng.choices(parts, k=rng.randint(0, 3))) + rng.choice(["", "?id=1", "?id=1&x=2", "#top", "/p.html"])
+    labelled = [(u, rng.random() < 0.1 + 0.7 * ("promo" in u and "b.a" in u) + 0.6 * ("win" in u and "x=2" in u)) for u in (draw() for _ in range(400))]
+    baskets = [(_url_tokens(u), y) for u, y in labelled]
+    bounds = url_rules.Mining(0.02, 0.6)
+    sure: dict = {}
+    for tokens, _ in baskets:
+        for k in range(1, 5):
+            for part in itertools.combinations(sorted(tokens), k):
+                sure.setdefault(part, None)
+    for part in sure:
+        hit = [y for tokens, y in baskets if tokens >= set(part)]
+        sure[part] = sum(hit) / len(hit) if sum(hit) >= bounds.support * len(baskets) else 0.0
+    rules = {frozenset(p): c for p, c in sure.items() if c >= bounds.confidence}
+    urls = [draw() for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = {r.page_id: r.verdict for r in url_rules.judge(pages, spark.createDataFrame(labelled, "url string, blocked boolean"), (), bounds).collect()}
+    assert rules and {"allow", "block"} <= set(out.values())
+    for k, u in enumerate(urls):
+        assert out[k] == ("block" if any(r <= _url_tokens(u) for r in rules) else "allow"), u
+
+
 # --- language model
 
 
