@@ -32,6 +32,8 @@ from sessionloom.llm.textwords import U64, Words, grams, mix, powers, window_gra
 WINDOW, M = 20, 3
 #: Bytes of text a map task gathers before it sends, and bytes of the whole corpus for each bucket.
 FLUSH, BUCKET, PASSES = 8 << 20, 4 << 20, 4
+#: Buckets that one task works through, one after another.
+TASK = 4
 _BASE = 0x2545F4914F6CDD1D
 
 
@@ -229,8 +231,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFra
         for found in bucket_repeats(held, window):
             yield spans_batch([found])
 
-    spread = F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(0)
-    sent = docs.mapInArrow(send, "bucket int, packed binary").repartition(max(1, buckets), "bucket", spread).sortWithinPartitions("bucket")
+    # a task gets a range of buckets, in order; what needs no bucket goes anywhere
+    spread = F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(F.floor(F.col("bucket") / TASK))
+    sent = docs.mapInArrow(send, "bucket int, packed binary").repartition(1 + buckets // TASK, spread).sortWithinPartitions("bucket")
     return sent.mapInArrow(count, "doc_id long, key long, spans binary")
 
 
