@@ -232,8 +232,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFra
             yield spans_batch([found])
 
     # a task gets a range of buckets, in order; what needs no bucket goes anywhere
-    spread = F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(F.floor(F.col("bucket") / TASK))
-    sent = docs.mapInArrow(send, "bucket int, packed binary").repartition(1 + buckets // TASK, spread).sortWithinPartitions("bucket")
+    tasks = 1 + (buckets - 1) // TASK
+    to = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("packed"), F.lit(tasks))).otherwise(F.floor(F.col("bucket") / TASK)).cast("int")
+    sent = docs.mapInArrow(send, "bucket int, packed binary").repartitionById(tasks, to).sortWithinPartitions("bucket")
     return sent.mapInArrow(count, "doc_id long, key long, spans binary")
 
 
