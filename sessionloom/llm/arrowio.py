@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.sources.shared import shared_folder
+
 #: Bytes of text that one call of a vectorised kernel gets at once; a single longer text still goes whole.
 CHUNK_BYTES = 1 << 20
 #: Bytes of one Arrow batch between the JVM and Python: each side holds a whole batch, and several while it is copied.
@@ -91,17 +91,6 @@ def map_chunks(df: DataFrame, kernel: Callable, schema: str, limit: int = CHUNK_
     return df.mapInArrow(run, schema)
 
 
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share. A local session that names none gets a temporary one."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sessionloom-"))
-    return context.getCheckpointDir()
-
-
 @contextlib.contextmanager
 def no_shuffles_kept(spark):
     """What runs inside has its shuffle files removed when it ends: staged rows are read from their files from then on."""
