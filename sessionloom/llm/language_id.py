@@ -81,8 +81,8 @@ def train(rows: DataFrame) -> dict:
 
 
 def mixtures(texts: list[bytes | None], model: dict) -> list[tuple[dict[str, float], float]]:
-    """Each text's languages with their proportions, largest first, and how much better a trigram is explained by them than
-    by an even draw of all trigrams (in nats); no language and 0 for a text without a word."""
+    """Each text's languages with their proportions, largest first, and the share of its words that they explain better than
+    an even draw of all trigrams does; no language and 0 for a text without a word."""
     languages, log = model["languages"], model["log"]
     slots, word_at, first = _trigrams(texts)
     out: list[tuple[dict[str, float], float]] = [({}, 0.0) for _ in texts]
@@ -112,19 +112,20 @@ def mixtures(texts: list[bytes | None], model: dict) -> list[tuple[dict[str, flo
     everything, _ = expect(np.full((len(have), len(languages)), 1 / len(languages)), everyone)
     rank = np.argsort(np.argsort(-everything, axis=1, kind="stable"), axis=1)
     best, likelihood = expect((rank < 1).astype(float), everyone)
-    value, asked = likelihood.copy(), everyone
+    value, asked = likelihood, everyone
     # a further language as long as it pays, text by text
     for k in range(2, len(languages) + 1):
         share, found = expect((rank[asked] < k) / k, asked)
         worth = found - PENALTY * (k - 1) * 0.5 * np.log(sizes[asked] + 1)
         better = worth > value[asked]
         asked = asked[better]
-        best[asked], value[asked], likelihood[asked] = share[better], worth[better], found[better]
+        best[asked], value[asked] = share[better], worth[better]
         if not len(asked):
             break
-    letters = np.diff(np.append(word_at, len(slots))[np.append(at, len(word_at))])
-    gain = likelihood / letters + np.log(SLOTS)
-    for k, row, more in zip(have.tolist(), best, gain.tolist(), strict=True):
+    letters = np.diff(np.append(word_at, len(slots)))
+    word = top[:, 0] + np.log(np.maximum((chance * best[owner]).sum(1), 1e-300))
+    known = np.add.reduceat((word > -letters * np.log(SLOTS)).astype(float), at) / sizes
+    for k, row, more in zip(have.tolist(), best, known.tolist(), strict=True):
         order = np.argsort(-row, kind="stable")
         out[k] = {languages[j]: min(1.0, float(row[j])) for j in order.tolist() if row[j] > 1e-6}, more
     return out
@@ -135,14 +136,14 @@ def has_letter(text: bytes | None) -> bool:
 
 
 def predictions(texts: list[bytes | None], model: dict) -> list[tuple[str, float, str, float]]:
-    """(language or und, score, all proportions as text, gain over an even draw) of each text."""
+    """(language or und, score, all proportions as text, share of words explained) of each text."""
     out = []
-    for text, (found, gain) in zip(texts, mixtures(texts, model), strict=True):
+    for text, (found, known) in zip(texts, mixtures(texts, model), strict=True):
         if not found or not has_letter(text):
             out.append(("und", 0.0, "", 0.0))
         else:
             lang = next(iter(found))
-            out.append((lang, found[lang], ",".join(f"{k}:{v:.3f}" for k, v in found.items() if v >= 0.0005), gain))
+            out.append((lang, found[lang], ",".join(f"{k}:{v:.3f}" for k, v in found.items() if v >= 0.0005), known))
     return out
 
 
@@ -166,9 +167,10 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     return arrowio.map_chunks(arrowio.id_text(docs), kernel, "doc_id long, lang_pred string, score double, mixture string", 1 << 18)
 
 
-def keep_identified(docs: DataFrame, model: dict, gain: float = 0.0) -> DataFrame:
-    """The rows, unchanged, whose text has a language: one with letters that its mixture explains better than an even draw of
-    all trigrams does, by over ``gain`` nats a trigram. Texts of no learned language (random letters) go."""
+def keep_identified(docs: DataFrame, model: dict, least: float = 0.25) -> DataFrame:
+    """The rows, unchanged, whose text has a language: at least that share of its words is better explained by its mixture than
+    by an even draw of all trigrams. Texts of no learned language (random letters) go; a key or a number among words doesn't
+    matter."""
     names, at = docs.columns, docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -178,7 +180,7 @@ def keep_identified(docs: DataFrame, model: dict, gain: float = 0.0) -> DataFram
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
                 texts = [x.as_py() for x in part.column(at).cast(pa.large_binary())]
-                keep = [lang != "und" and more > gain for lang, _, _, more in predictions(texts, shared.value)]
+                keep = [lang != "und" and known >= least for lang, _, _, known in predictions(texts, shared.value)]
                 yield pa.RecordBatch.from_arrays(part.filter(pa.array(keep)).columns, names=names)
 
     return docs.mapInArrow(run, docs.schema)
