@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from sessionloom.functions.scalar import clamp_count
 
 CAPACITY = 1 << 20
+#: The capacity of a log that evicts nothing.
+UNBOUNDED = (1 << 63) - 1
 KEYS = ("topic", "partition")
 
 
@@ -87,10 +89,10 @@ def tcp_fetch(log: DataFrame, topic: str, start: int, max_count: int) -> DataFra
     return fetch(log, topic, 0, start, clamp_count(max_count, 1, 4096)).select("offset", "payload")
 
 
-def http_fetch(log: DataFrame, topic: str, partition: int = 0, start: int = 0, limit: int | None = None) -> DataFrame:
+def http_fetch(log: DataFrame, topic: str, partition: int = 0, start: int = 0, limit: int | None = None, capacity: int = CAPACITY) -> DataFrame:
     """20 rows where no limit is given, 100 at most."""
     shown = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return fetch(log, topic, partition, start, 20 if limit is None else min(limit, 100)).select("offset", shown.alias("timestamp"), F.col("payload").cast("string").alias("payload"))
+    return fetch(log, topic, partition, start, 20 if limit is None else min(limit, 100), capacity).select("offset", shown.alias("timestamp"), F.col("payload").cast("string").alias("payload"))
 
 
 def session_is(tenant: str | None = None, project: str | None = None, session: str | None = None) -> Column:

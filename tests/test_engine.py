@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import scalar
 from sessionloom.operators import envelope, log, metrics, routing
+from sessionloom.plans import log_queries
 from sessionloom.streaming import pipeline as streaming
 
 BASE = {"version": "v1", "type": "tool.call", "tenant": "acme", "project": "bot", "session_id": "s1", "agent_id": "a", "attempt": 2, "created_at": "2026-04-03T10:00:00Z", "payload": {"tool": "search"}}
@@ -130,6 +131,19 @@ def test_requests_are_checked(spark):
     assert log.http_fetch(rows, "t", 0, 0).count() == 10 and log.http_fetch(rows, "t", 0, 0, 0).count() == 0
 
 
+def long_log(spark, partition):
+    """Offsets 0 to 199, and one more than the default capacity later."""
+    rows = spark.range(200).union(spark.range(log.CAPACITY + 500, log.CAPACITY + 501))
+    return rows.select(F.lit("agent-events").alias("topic"), F.lit(partition).alias("partition"), F.col("id").alias("offset"), F.timestamp_seconds("id").alias("ts"), F.lit("{}").alias("payload"))
+
+
+def test_http_fetch_reads_a_log_longer_than_the_ring(spark, monkeypatch):
+    monkeypatch.setattr(log_queries, "messages", lambda spark, d: long_log(spark, 2))
+    assert sorted(r.offset for r in log_queries.http_fetch(spark, "").collect()) == list(range(3, 103))
+    # by itself the operator keeps the ring's capacity
+    assert log.http_fetch(long_log(spark, 2), "agent-events", 2, 3, 500).count() == 0
+
+
 def test_stored_log_is_pruned(spark, tmp_path):
     rows = ring(spark, 100, 64).withColumns({"tenant": F.lit("a"), "project": F.lit("p"), "session_id": F.lit("s")})
     log.store(rows, str(tmp_path / "log"), 10)
