@@ -84,9 +84,9 @@ def rpc_fetch(log: DataFrame, topic: str, partition: int, start: int = 0, max_co
     return fetch(log, topic, partition, start, clamp_count(max_count, 256, 4096), capacity).select("topic", "partition", "offset", "seq", "payload", "head", "tail", "next_offset")
 
 
-def tcp_fetch(log: DataFrame, topic: str, start: int, max_count: int) -> DataFrame:
+def tcp_fetch(log: DataFrame, topic: str, start: int, max_count: int, capacity: int = CAPACITY) -> DataFrame:
     """Partition 0 only, no timestamps."""
-    return fetch(log, topic, 0, start, clamp_count(max_count, 1, 4096)).select("offset", "payload")
+    return fetch(log, topic, 0, start, clamp_count(max_count, 1, 4096), capacity).select("offset", "payload")
 
 
 def http_fetch(log: DataFrame, topic: str, partition: int = 0, start: int = 0, limit: int | None = None, capacity: int = CAPACITY) -> DataFrame:

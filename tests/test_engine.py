@@ -144,6 +144,13 @@ def test_http_fetch_reads_a_log_longer_than_the_ring(spark, monkeypatch):
     assert log.http_fetch(long_log(spark, 2), "agent-events", 2, 3, 500).count() == 0
 
 
+def test_tcp_fetch_reads_a_log_longer_than_the_ring(spark, monkeypatch):
+    monkeypatch.setattr(log_queries, "messages", lambda spark, d: long_log(spark, 0))
+    assert sorted(r.offset for r in log_queries.tcp_fetch(spark, "").collect()) == list(range(20, 120))
+    # by itself the operator keeps the ring's capacity
+    assert log.tcp_fetch(long_log(spark, 0), "agent-events", 20, 100).count() == 0
+
+
 def test_stored_log_is_pruned(spark, tmp_path):
     rows = ring(spark, 100, 64).withColumns({"tenant": F.lit("a"), "project": F.lit("p"), "session_id": F.lit("s")})
     log.store(rows, str(tmp_path / "log"), 10)
