@@ -5,10 +5,12 @@ document's set size and the smallest document it reaches by links.
 
 1. *Classes.* Documents of one set are one node (64-bit set hash, checked by a second one; a clash repeats with other
    numbers). From here on a group of exact copies counts once, however large it is.
-2. *Blocks.* Columns are ordered by frequency, rare ones first, and a set that links shares a column among the first
-   |A| - ceil(percent * |A| / 100) + 1 of each side. These entries of the matrix are dealt into blocks of columns. A map task
-   ties its own rows of a column together and sends one of them on, so a column held by a third of all documents costs a
-   reducer one entry a map task; and such columns come last in the order, so they are hardly ever dealt at all.
+2. *Blocks.* Single columns are shared by chance ever more often as the corpus grows, so they are taken together: sets of one
+   class of sizes are cut by hash ranges into more parts than two linking sets differ in n-grams, so these have a part in
+   common whole, and such whole parts are the merged columns that are dealt into blocks. A set with more empty parts than
+   there are parts to spare also deals single columns: those are ordered by frequency, rare ones first, and sets that link
+   share one among the first |A| - ceil(percent * |A| / 100) + 1 of each side. A map task ties its own rows of a column
+   together and sends one of them on, so a column held by a third of all documents costs a reducer one entry a map task.
 3. *Products.* Within a block each row is multiplied with the row of the block's first node: overlap counts, after pairs
    have been discarded whose sizes, or parity outlines of 2048 bits, rule the bound out. The texts of nodes that have a
    tie are shuffled once, into buckets that all products read; a first node with very many rows is split into several
@@ -24,6 +26,8 @@ smallest doc_id that isn't null (null where it has none). An empty table gives n
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -37,6 +41,8 @@ from sessionloom.llm.textwords import U64, Words, grams, mix, numbers
 N, PERCENT = 4, 85
 #: Entries of a block of columns, and rows of one product, that a task holds at once.
 BLOCK, ROWS = 1_000_000, 256
+#: Sizes of one class: the largest is about STEP[0] / STEP[1] times the smallest.
+STEP, LARGEST = (5, 4), 1 << 36
 #: Bits of a row's outline, by which pairs are ruled out.
 OUTLINE = 2048
 #: Hash ranges whose frequencies order the columns.
@@ -118,6 +124,50 @@ def prefix(s: np.ndarray, weights: np.ndarray, percent: int) -> np.ndarray:
     return key if length >= n else np.partition(key, length)[:length]
 
 
+def size_classes(percent: int) -> np.ndarray:
+    """(first size, parts, parts to spare) of each class of sizes.
+
+    Sets that link differ in (100 - percent) / percent of the smaller one's n-grams at most. Its class has a part for each of
+    these, one more, and some to spare, as many as are seldom empty.
+    """
+    rows, first = [], 1
+    while first < LARGEST:
+        after = max(first + 1, first * STEP[0] // STEP[1])
+        differ = (after - 1) * (100 - percent) // percent
+        spare = 0
+        for _ in range(3):
+            empty = (differ + 1 + spare) * math.exp(-first / (differ + 1 + spare))
+            spare = int(empty + 2.5 * math.sqrt(empty))
+        rows.append((first, differ + 1 + spare, spare))
+        first = after
+    return np.array(rows)
+
+
+def merged_columns(s: np.ndarray, classes: np.ndarray, weights: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of which sets that link, but aren't equal, share one: the set's whole parts in each class that the smaller of
+    it and another set may be of, and its prefix where too many parts are empty.
+
+    If all parts that two linking sets have in common are empty, both have more empty parts than there are to spare.
+    """
+    n = len(s)
+    low, high = np.searchsorted(classes[:, 0], (-(-percent * n // 100), n), side="right") - 1
+    mixed, top, out, scant = None, s >> U64(32), [], False
+    for c in range(max(int(low), 0), int(high) + 1):
+        parts, spare = classes[c, 1:].tolist()
+        # one part and none to spare: they would have to be equal
+        if parts - spare <= 1:
+            continue
+        if mixed is None:
+            mixed = mix(s)
+        part = (top * U64(parts)) >> U64(32)
+        start = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
+        out.append(mix(np.add.reduceat(mixed, start) + mix(part[start] + U64(c << 40))))
+        scant |= parts - len(start) > spare
+    if scant:
+        out.append(prefix(s, weights, percent))
+    return np.concatenate(out) if out else s[:0]
+
+
 def outline_of(s: np.ndarray) -> bytes:
     """OUTLINE bits, each the parity of the set's n-grams that fall on it: sets that differ in d n-grams differ in d bits at most."""
     bits = np.bincount((s >> U64(20)).astype(np.int64) % OUTLINE, minlength=OUTLINE).astype(np.uint8) & 1
@@ -150,17 +200,18 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def block_ties(docs: DataFrame, n: int, percent: int, seed: int, blocks: int, weights) -> DataFrame:
-    """(part, a, b, more): nodes that share a column of their prefixes, each tied to the column's smallest node in its map task or block.
+    """(part, a, b, more): nodes that share a merged column, each tied to the column's smallest node in its map task or block.
 
     more: whether the column may have other ties, so that nodes tied to one node still have to meet. A key's lowest bit says
     that its map task has tied rows of the column.
     """
+    classes = size_classes(percent)
 
     def deal(ids, texts):
         keys, nodes = [], []
         for s in ngram_sets(texts, n):
             if len(s):
-                keys.append(prefix(s, weights.value, percent))
+                keys.append(merged_columns(s, classes, weights.value, percent))
                 nodes.append(np.full(len(keys[-1]), _set_hash(s, seed), np.int64))
         if not keys:
             return None
@@ -382,7 +433,8 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_c
         arrowio.drop_stage(sized)
         seed += 2
     nodes = arrowio.stage(classes.select("node", "rep", "key", "n"))
-    blocks = 1 + (totals["n"] or 0) * (100 - percent) // 100 // BLOCK
+    # about two classes for each set
+    blocks = 1 + (totals["n"] or 0) * min(100, 2 * (100 - percent)) // 100 // BLOCK
     weights = spark.sparkContext.broadcast(column_weights(docs, n))
     ties = arrowio.stage(block_ties(docs, n, percent, seed, blocks, weights).distinct())
     tried = arrowio.stage(ties.select("a", "b").distinct())

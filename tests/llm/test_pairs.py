@@ -54,6 +54,38 @@ def test_ngram_join_matches_brute_force(spark, monkeypatch, crowd):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()} == jaccard_brute(rows)
 
 
+def test_ngram_join_ties_no_rows_that_share_columns_by_chance(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice("abcdef") for _ in range(120))) for k in range(300)]
+    rows += [(300 + k, rows[k][1] + " x") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = spark.sparkContext.broadcast(ngram_join.column_weights(df, 4))
+    # any two of the 300 share about eight of their n-grams
+    tied = ngram_join.block_ties(df, 4, 85, 1, 1, weights).select("a", "b").distinct().count()
+    assert 5 <= tied < len(rows), tied
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()} == jaccard_brute(rows)
+
+
+@pytest.mark.parametrize("percent", [85, 80, 50, 97])
+def test_merged_columns_of_sets_that_link(percent):
+    rng = np.random.default_rng(percent)
+    classes, weights = ngram_join.size_classes(percent), np.zeros(1 << ngram_join.SLOT_BITS, np.uint8)
+    tried = 0
+    for n in [*range(1, 41), 55, 90, 160, 400, 1500] * 8:
+        # as far apart as the bound allows: some n-grams of one lost, others new
+        union = rng.integers(0, 1 << 63, 3 * n + 3, dtype=np.uint64) * np.uint64(2)
+        for lost in {0, n * (100 - percent) // 100, int(rng.integers(0, n)), n * (100 - percent) // (100 + percent)}:
+            new = (100 * (n - lost) - percent * n) // percent
+            if new < 0 or lost + new == 0:
+                continue
+            one, two = np.sort(union[:n]), np.sort(union[lost : n + new])
+            assert 100 * (n - lost) >= percent * (n + new)
+            shared = np.intersect1d(*(ngram_join.merged_columns(x, classes, weights, percent) for x in (one, two)))
+            assert len(shared), (n, lost, new)
+            tried += 1
+    assert tried > 100
+
+
 def test_ngram_join_edge_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, node long, part int")
     assert ngram_join.jaccard_components(empty).collect() == []
