@@ -348,15 +348,59 @@ def products(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, perce
     return wanted.repartition("a", "s").sortWithinPartitions("a", "s").mapInArrow(run, "a long, b long")
 
 
-def family_products(members: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
+def tile_rows(dealt: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``dealt`` (family, first, second, tile, node, of, size, outline) that sizes and outlines leave a row of the
+    other tile to link with, without size and outline."""
+    names = ["family", "first", "second", "tile", "node", "of"]
+
+    def kept(first: int, second: int, rows: list) -> list:
+        tiles, of, size = (np.array([r[k] for r in rows]) for k in (0, 2, 3))
+        bits = np.frombuffer(b"".join(r[4] for r in rows), U64).reshape(len(rows), -1)
+        a, b = np.flatnonzero(tiles == first), np.flatnonzero(tiles == second)
+        keep = np.zeros(len(rows), bool)
+        for i in a.tolist():
+            j = b[(of[b] != of[i]) & (100 * np.minimum(size[b], size[i]) >= percent * np.maximum(size[b], size[i]))]
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+            j = j[apart * (100 + percent) <= (size[j] + size[i]) * (100 - percent)]
+            if len(j):
+                keep[i] = True
+                keep[j] = True
+        return [rows[k][:3] for k in np.flatnonzero(keep).tolist()]
+
+    @arrowio.lean
+    def run(batches):
+        key, held = None, []
+
+        def batch_of():
+            out = [(*key, *r) for r in kept(*key[1:], held)]
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
+
+        for batch in batches:
+            for family, first, second, *row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if (family, first, second) != key:
+                    if key:
+                        yield batch_of()
+                    key, held = (family, first, second), []
+                held.append(row)
+        if key:
+            yield batch_of()
+
+    schema = "family long, first int, second int, tile int, node long, of long"
+    return dealt.repartition("family", "first", "second").sortWithinPartitions("family", "first", "second").mapInArrow(run, schema)
+
+
+def family_products(members: DataFrame, outline: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     """(a, b) links between members (node, family, of) of one family but different ``of``, enough to join what links join.
 
-    A family's rows are cut into tiles; every two tiles are multiplied by blocks of columns in a task of their own.
+    A family's rows are cut into tiles; every two tiles meet in a task of their own: first their outlines, then the rows that
+    these leave, which are multiplied by blocks of columns.
     """
     sizes = members.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, "tile").alias("first"), F.greatest(k, "tile").alias("second")))
-    dealt = members.join(sizes, "family").withColumn("tile", tile).withColumn("meet", F.explode(meets)).select("family", "meet.first", "meet.second", "tile", "node", "of")
+    placed = members.join(sizes, "family").join(outline, "node").withColumn("tile", tile).withColumn("meet", F.explode(meets))
+    dealt = tile_rows(placed.select("family", "meet.first", "meet.second", "tile", "node", "of", "size", "outline"), percent)
 
     def product(first: int, second: int, held: list) -> list[tuple[int, int]]:
         sets = ngram_sets([h[3] for h in held], n)
@@ -466,7 +510,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_c
     members = families.join(ends.select("node", "of").distinct(), "node").select("node", F.col("component").alias("family"), "of")
     untried = open_pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     untried = arrowio.stage(possible(untried, outline, percent))
-    more = products(untried, nodes, texts, n, percent, seed).union(family_products(members, nodes, texts, n, percent, seed))
+    more = products(untried, nodes, texts, n, percent, seed).union(family_products(members, outline, nodes, texts, n, percent, seed))
     more = arrowio.stage(more)
     for staged in (tried, outline, ends, untried, texts):
         arrowio.drop_stage(staged)

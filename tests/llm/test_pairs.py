@@ -66,6 +66,16 @@ def test_ngram_join_ties_no_rows_that_share_columns_by_chance(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()} == jaccard_brute(rows)
 
 
+def test_tiles_multiply_only_rows_that_outlines_leave(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(90)) for _ in range(40)]
+    texts += [texts[k] + " x" for k in range(3)]
+    sets = ngram_join.ngram_sets([t.encode() for t in texts], 4)
+    rows = [(7, 0, 0, 0, k, k, len(x), bytearray(ngram_join.outline_of(x))) for k, x in enumerate(sets)]
+    dealt = spark.createDataFrame(rows, "family long, first int, second int, tile int, node long, of long, size int, outline binary")
+    assert sorted(r.node for r in ngram_join.tile_rows(dealt, 85).collect()) == [0, 1, 2, 40, 41, 42]
+
+
 @pytest.mark.parametrize("percent", [85, 80, 50, 97])
 def test_merged_columns_of_sets_that_link(percent):
     rng = np.random.default_rng(percent)
