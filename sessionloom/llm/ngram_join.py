@@ -16,7 +16,8 @@ document's set size and the smallest document it reaches by links.
    tie are shuffled once, into buckets that all products read; a first node with very many rows is split into several
    products.
 4. *The rest of a column.* Links join nodes to components. Where a column still spans several components, all its pairs
-   between different components that the sizes allow are multiplied, too: pair by pair, or for crowded columns tile by tile inside a task. Pairs inside a component cannot change it and are left out: this keeps
+   between different components that the sizes allow are multiplied, too: pair by pair, or for
+   crowded columns tile by tile inside a task, where outlines meet first. Pairs inside a component cannot change it and are left out: this keeps
    a group of thousands of near copies linear without losing a link between components.
 
 Null text or text without words: an empty set, linked with nothing, its own component. Fewer words than n: the whole
