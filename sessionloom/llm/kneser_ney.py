@@ -73,14 +73,34 @@ def tokens_of(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.nda
     return out, at
 
 
+def sort_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a stable order of hashes, the hashes in it).
+
+    Places stand in the low bits of the hashes while these are sorted, as plain numbers sort several times faster than places
+    by number; the few runs that differ in those low bits only are sorted again.
+    """
+    bits = U64(len(h).bit_length())
+    low = (U64(1) << bits) - U64(1)
+    key = h & ~low | np.arange(len(h), dtype=U64)
+    key.sort()
+    order = (key & low).view(np.int64)
+    out = h[order]
+    back = np.flatnonzero(out[1:] < out[:-1])
+    if len(back):
+        key &= ~low
+        for a, b in dict.fromkeys(zip(np.searchsorted(key, key[back]).tolist(), np.searchsorted(key, key[back], "right").tolist(), strict=True)):
+            order[a:b] = order[a:b][np.argsort(out[a:b], kind="stable")]
+            out[a:b] = h[order[a:b]]
+    return order, out
+
+
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(the sorted distinct numbers, where each stands, which one each number is)."""
-    order = np.argsort(h)
-    ordered = h[order]
+    order, ordered = sort_hashes(h)
     new = np.ones(len(h), bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    back = np.empty(len(h), np.int64)
-    back[order] = np.cumsum(new) - 1
+    back = np.empty(len(h), np.uint32)
+    back[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
     return ordered[new], order[new], back
 
 
@@ -100,16 +120,15 @@ def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
 def _pack(words: np.ndarray, columns: np.ndarray, values: np.ndarray) -> bytes:
     """N-grams as places in a dictionary of their own words, and values."""
     if columns.size < len(words) >> 3:
-        used, index = np.unique(columns, return_inverse=True)
-        index = index.reshape(columns.shape)
+        used = np.sort(columns, axis=None)
+        used = used[np.append(True, used[1:] != used[:-1])]
     else:
         there = np.zeros(len(words), bool)
         there[columns] = True
-        used, index = np.flatnonzero(there), (np.cumsum(there) - 1)[columns]
-    index = index.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
-    # rows in order of their first words compress better
-    order = np.argsort(index[0].astype(U64) << U64(32) | index[min(1, len(index) - 1)])
-    index, values = index[:, order], values[:, order]
+        used = np.flatnonzero(there)
+    place = np.empty(len(words), np.uint16 if len(used) < 1 << 16 else np.uint32)
+    place[used] = np.arange(len(used))
+    index = place[columns]
     head = np.array([*columns.shape, len(used), *values.shape], np.int64)
     return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + words[used].tobytes() + index.tobytes() + values.astype(np.uint32).tobytes())
 
@@ -128,7 +147,7 @@ def _joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The n-grams of several blobs over one dictionary."""
     parts = [_unpack(b) for b in blobs]
     words, _, back = distinct(np.concatenate([p[0] for p in parts]))
-    places = np.split(back.astype(np.uint32), np.cumsum([len(p[0]) for p in parts])[:-1])
+    places = np.split(back, np.cumsum([len(p[0]) for p in parts])[:-1])
     columns = np.concatenate([place[index] for place, (_, index, _) in zip(places, parts, strict=True)], axis=1)
     return words, columns, np.concatenate([p[2] for p in parts], axis=1)
 
@@ -150,15 +169,23 @@ def _by_block(block: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _rows(kind: int, block: np.ndarray, words: np.ndarray, columns: np.ndarray, values: np.ndarray, blocks: int):
     """(kind, block, packed, None) of n-grams and values by their blocks."""
-    order, edges = _by_block(block, blocks)
+    # inside a block in order of their first words, as far as one number has room for them: rows compress better so
+    wide, bits = len(words).bit_length(), len(block).bit_length()
+    spare, key = 64 - blocks.bit_length() - bits, block.astype(U64)
+    for column in columns[:2]:
+        kept = min(wide, spare)
+        spare, key = spare - kept, key << U64(kept) | column.astype(U64) >> U64(wide - kept)
+    key = key << U64(bits) | np.arange(len(block), dtype=U64)
+    key.sort()
+    order = (key & U64((1 << bits) - 1)).view(np.int64)
+    edges = np.searchsorted(block[order], np.arange(blocks + 1))
     columns, values = columns[:, order], values[:, order]
     return [(kind, k, _pack(words, columns[:, edges[k] : edges[k + 1]], values[:, edges[k] : edges[k + 1]]), None) for k in np.flatnonzero(np.diff(edges)).tolist()]
 
 
 def _grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct hashes, an order by hash, where each hash starts in it)."""
-    order = np.argsort(h)
-    h = h[order]
+    order, h = sort_hashes(h)
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
     return h[first], order, first
 
@@ -183,8 +210,10 @@ def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     width = values.shape[1]
     short = np.flatnonzero((values < 1 << 16).all(1))
     packed = (values[short].astype(U64) << (np.arange(width, dtype=U64) * U64(16))).sum(1, dtype=U64)
-    known, back, times = np.unique(packed, return_inverse=True, return_counts=True)
-    common = np.argsort(-times, kind="stable")[:255]
+    coded = pa.array(packed).dictionary_encode()
+    known, back = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    times = np.bincount(back, minlength=len(known))
+    common = np.lexsort((known, -times))[:255]
     code = np.full(len(known), 255, np.uint8)
     code[common] = np.arange(len(common))
     codes = np.full(len(values), 255, np.uint8)
@@ -232,37 +261,46 @@ class Table:
 
         self.bits = bits
         self.index, self.high = part((1 << bits) + 1), part(n)
-        self.table = part(known * self.width).reshape(known, self.width)
+        #: the rows that codes stand for; below them one of zeros for unknown hashes
+        self.table = np.zeros((257, self.width), np.uint32)
+        self.table[:known] = part(known * self.width).reshape(known, self.width)
         self.others, self.rows = part(others), part(others * self.width).reshape(others, self.width)
         self.low, self.codes = part(n, np.uint8), part(n, np.uint8)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Rows of values of the hashes, zeros for unknown ones: binary search between an index entry and the next."""
-        out = np.zeros((len(h), self.width), np.uint32)
         if not len(self.low):
-            return out
+            return np.zeros((len(h), self.width), np.uint32)
         bucket = (h >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
         rest = h >> U64(24 - self.bits) & U64((1 << 40) - 1)
         high, low = (rest >> U64(8)).astype(np.uint32), rest.astype(np.uint8)
-        place, end = self.index[bucket].astype(np.int32), self.index[bucket + 1].astype(np.int32)
-        for step in reversed([1 << k for k in range(int((end - place).max(initial=0)).bit_length())]):
-            ahead = place + np.int32(step)
-            fewer = (np.take(self.high, ahead - np.int32(1), mode="clip") < high) & (ahead <= end)
-            place = np.where(fewer, ahead, place)
-        asked = np.flatnonzero(place < end)
+        place, end = self.index[bucket].astype(np.int64), self.index[bucket + 1].astype(np.int64)
+        longest = int((end - place).max(initial=0))
+        # the last place that is known to hold less
+        place -= 1
+        for step in reversed([1 << k for k in range(longest.bit_length())]):
+            ahead = place + step
+            fewer = self.high.take(ahead, mode="clip") < high
+            fewer &= ahead < end
+            place += fewer * step
+        place += 1
+        equal = self.high.take(place, mode="clip") == high
+        equal &= place < end
+        hit = self.low.take(place, mode="clip") == low
+        hit &= equal
+        # the few that agree in the first 32 bits only look at the next ones
+        asked = np.flatnonzero(equal & ~hit)
         while len(asked):
-            at = place[asked]
-            equal = self.high[at] == high[asked]
-            hit = equal & (self.low[at] == low[asked])
-            found, at = asked[hit], at[hit]
-            code = self.codes[at]
-            plain = code < 255
-            out[found[plain]] = self.table[code[plain]]
-            out[found[~plain]] = self.rows[np.searchsorted(self.others, at[~plain])]
-            # the few that agree in the first 32 bits only look at the next one
-            asked = asked[equal & ~hit]
             place[asked] += 1
             asked = asked[place[asked] < end[asked]]
+            asked = asked[self.high[place[asked]] == high[asked]]
+            found = self.low[place[asked]] == low[asked]
+            hit[asked[found]] = True
+            asked = asked[~found]
+        code = np.where(hit, self.codes.take(place, mode="clip"), np.uint16(256))
+        out = self.table.take(code, axis=0)
+        listed = np.flatnonzero(code == 255)
+        out[listed] = self.rows[np.searchsorted(self.others, place[listed])]
         return out
 
 
@@ -369,7 +407,6 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
             place = placing(g, grams(tokens, order - 1, 0)[: len(g)], hot) if order > 1 else g
             block = block_of(place, blocks)
             words, _, index = distinct(tokens)
-            index = index.astype(np.uint32)
             where = np.flatnonzero(inside & (block % PASSES == step))
             _, ranked, first = _grouped(g[where])
             n, where = np.diff(np.append(first, len(ranked))), where[ranked[first]]
@@ -425,12 +462,15 @@ class Arrays:
     def __init__(self, model: Model):
         self.model, self.held = model, {}
 
-    def find(self, kind: int, asked: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
-        """Values of distinct, sorted hashes, (number, width); zeros for unknown ones. place: what decides the block, where it isn't the hash."""
-        width = 4 if CONTEXT <= kind < RAW else 1
-        blocks = self.model.blocks
-        order, edges = _by_block(block_of(asked if place is None else place, blocks), blocks)
-        out = np.zeros((len(asked), width), np.uint32)
+    def deal(self, asked: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct, sorted hashes by their blocks, for ``find``. place: what decides the block, where it isn't the hash."""
+        order, edges = _by_block(block_of(asked if place is None else place, self.model.blocks), self.model.blocks)
+        return asked[order], order, edges
+
+    def find(self, kind: int, dealt: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Values of the hashes in their first order, (number, width); zeros for unknown ones."""
+        asked, order, edges = dealt
+        out = np.zeros((len(asked), 4 if CONTEXT <= kind < RAW else 1), np.uint32)
         for k in np.flatnonzero(np.diff(edges)).tolist():
             if (kind, k) not in self.held:
                 try:
@@ -438,8 +478,7 @@ class Arrays:
                 except FileNotFoundError:
                     self.held[kind, k] = None
             if self.held[kind, k]:
-                mine = order[edges[k] : edges[k + 1]]
-                out[mine] = self.held[kind, k].find(asked[mine])
+                out[order[edges[k] : edges[k + 1]]] = self.held[kind, k].find(asked[edges[k] : edges[k + 1]])
         return out
 
 
@@ -460,31 +499,34 @@ def probabilities(tokens: np.ndarray, where: np.ndarray, model: Model) -> tuple[
     arrays = _arrays(model.folder, model.order, model.blocks)
     words, _, back = distinct(tokens)
     asked = grams(words, 1, 0)
-    shorter, ranked = asked[back], np.argsort(asked)
-    place_of = np.empty(len(asked), np.int64)
-    place_of[ranked] = np.arange(len(asked))
-    asked, back = asked[ranked], place_of[back]
-    raw = arrays.find(RAW, asked)[back[where], 0].astype(float)
+    shorter = asked[back]
+    ranked, asked = sort_hashes(asked)
+    place_of = np.empty(len(asked), np.uint32)
+    place_of[ranked] = np.arange(len(asked), dtype=np.uint32)
+    back = place_of[back]
+    dealt = arrays.deal(asked)
+    raw = arrays.find(RAW, dealt)[back[where], 0].astype(float)
     total, *followers = model.unigrams
     p = np.full(len(where), 1.0 / (model.vocabulary + 1))
     if total:
         d = model.discounts[1]
-        c = arrays.find(1, asked)[back[where], 0].astype(float)
+        c = arrays.find(1, dealt)[back[where], 0].astype(float)
         p = _less(c, d) / total + sum(x * n for x, n in zip(d, followers, strict=True)) / total * p
     any_hot = any(model.hot)
     for k in range(2, model.order + 1):
         if k not in model.discounts:
             break
         d, top = model.discounts[k], k == model.order
-        seen = arrays.find(CONTEXT + k, asked)
+        seen = arrays.find(CONTEXT + k, dealt)
         if top and any_hot:
-            seen = seen + arrays.find(HOT + k, asked)
+            seen = seen + arrays.find(HOT + k, dealt)
         total = np.maximum(seen[:, 0], 1).astype(float)
         passed_on = np.where(seen[:, 0] > 0, seen[:, 1:] @ np.array(d) / total, 1.0)
         context = back[where - k + 1]
         gram = grams(tokens, k, 0)
         asked, first, back = distinct(gram)
-        c = arrays.find(k, asked, placing(asked, shorter[first], model.hot) if top else None)[back[where - k + 1], 0].astype(float)
+        dealt = arrays.deal(asked, placing(asked, shorter[first], model.hot) if top else None)
+        c = arrays.find(k, dealt)[back[where - k + 1], 0].astype(float)
         # an unseen context has no seen n-gram
         p = _less(c, d) / total[context] + passed_on[context] * p
         shorter = gram

@@ -478,6 +478,42 @@ def test_language_model_files_hold_every_value(tmp_path, n, width):
     assert not table.find(draw.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)).any()
 
 
+def test_language_model_sorts_hashes_as_numbers(monkeypatch):
+    draw = np.random.default_rng(3)
+    h = draw.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    # half occur again, some differ in the low bits only, which hold places while they are sorted
+    h = np.concatenate((h, h[::2], h[:50] ^ np.uint64(1), h[:50] ^ np.uint64(5), h[:50]))
+    draw.shuffle(h)
+    words, first, back = np.unique(h, return_index=True, return_inverse=True)
+    want, sort, sizes = np.argsort(h, kind="stable"), np.argsort, []
+    # places sorted by number took most of the time of every step
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sizes.append(len(x)) or sort(x, *a, **k))
+    got = kneser_ney.distinct(h)
+    assert sum(sizes) < 1000
+    assert (got[0] == words).all() and (got[1] == first).all() and (got[2] == back).all()
+    order, ordered = kneser_ney.sort_hashes(h)
+    assert (order == want).all() and (ordered == h[want]).all()
+    for few in (h[:0], h[:1], np.zeros(5, np.uint64), np.full(3, (1 << 64) - 1, np.uint64)):
+        assert (kneser_ney.sort_hashes(few)[0] == sort(few, kind="stable")).all() and len(kneser_ney.distinct(few)[0]) == len(set(few.tolist()))
+
+
+def test_language_model_files_tell_close_hashes_apart(tmp_path):
+    draw = np.random.default_rng(4)
+    keys = draw.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    bits = np.uint64(24 - min(16, len(keys).bit_length() - 5))
+    # runs that agree in all but the last 8 of the bits that a file keeps
+    keys = np.unique(np.concatenate([keys[:1000]] + [keys >> bits + np.uint64(8) << bits + np.uint64(8) | np.uint64(k) << bits for k in (0, 3, 255)]))
+    bits = np.uint64(24 - min(16, len(keys).bit_length() - 5))
+    keys = keys[np.append(True, keys[1:] >> bits != keys[:-1] >> bits)]
+    values = draw.integers(0, 1 << 10, (len(keys), 1))
+    kneser_ney._write(str(tmp_path), "t", keys, values)
+    table = kneser_ney._mapped(str(tmp_path), "t")
+    assert (table.find(keys) == values).all()
+    near = keys ^ np.uint64(9) << bits
+    near = near[~np.isin(near >> bits, keys >> bits)]
+    assert len(near) > 1000 and not table.find(near).any()
+
+
 def test_language_model_query_has_order_three(spark, tmp_path):
     import zlib
 
