@@ -41,6 +41,8 @@ from sessionloom.llm.textwords import U64, Words, grams, mix, numbers
 BEGIN, END = numbers(2, 99)
 #: Bytes of text a map task counts before it sends; bytes of the training text for each block.
 FLUSH, BLOCK = 10 << 20, 16 << 20
+#: Bytes of text scored at once: an n-gram that occurs again in a run is looked up once.
+RUN = 8 << 20
 #: Rounds in which blocks are counted: each reads the text once and has this share of the n-grams on disk.
 PASSES = 4
 RAW, CONTEXT, HOT = 1000, 100, 200
@@ -462,14 +464,18 @@ class Arrays:
     def __init__(self, model: Model):
         self.model, self.held = model, {}
 
-    def deal(self, asked: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct, sorted hashes by their blocks, for ``find``. place: what decides the block, where it isn't the hash."""
+    def deal(self, asked: np.ndarray, back: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct, sorted hashes in order of their blocks, where each block starts, ``back`` for that order).
+
+        place: what decides the block, where it isn't the hash.
+        """
         order, edges = _by_block(block_of(asked if place is None else place, self.model.blocks), self.model.blocks)
-        return asked[order], order, edges
+        now = np.empty(len(order), np.uint32)
+        now[order] = np.arange(len(order), dtype=np.uint32)
+        return asked[order], edges, now[back]
 
-    def find(self, kind: int, dealt: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """Values of the hashes in their first order, (number, width); zeros for unknown ones."""
-        asked, order, edges = dealt
+    def find(self, kind: int, asked: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Values of dealt hashes, (number, width); zeros for unknown ones."""
         out = np.zeros((len(asked), 4 if CONTEXT <= kind < RAW else 1), np.uint32)
         for k in np.flatnonzero(np.diff(edges)).tolist():
             if (kind, k) not in self.held:
@@ -478,7 +484,7 @@ class Arrays:
                 except FileNotFoundError:
                     self.held[kind, k] = None
             if self.held[kind, k]:
-                out[order[edges[k] : edges[k + 1]]] = self.held[kind, k].find(asked[edges[k] : edges[k + 1]])
+                out[edges[k] : edges[k + 1]] = self.held[kind, k].find(asked[edges[k] : edges[k + 1]])
         return out
 
 
@@ -503,30 +509,31 @@ def probabilities(tokens: np.ndarray, where: np.ndarray, model: Model) -> tuple[
     ranked, asked = sort_hashes(asked)
     place_of = np.empty(len(asked), np.uint32)
     place_of[ranked] = np.arange(len(asked), dtype=np.uint32)
-    back = place_of[back]
-    dealt = arrays.deal(asked)
-    raw = arrays.find(RAW, dealt)[back[where], 0].astype(float)
+    asked, edges, back = arrays.deal(asked, place_of[back])
+    own = back[where]
+    raw = arrays.find(RAW, asked, edges)[:, 0][own].astype(float)
     total, *followers = model.unigrams
-    p = np.full(len(where), 1.0 / (model.vocabulary + 1))
+    p = np.full(len(asked), 1.0 / (model.vocabulary + 1))
     if total:
         d = model.discounts[1]
-        c = arrays.find(1, dealt)[back[where], 0].astype(float)
+        c = arrays.find(1, asked, edges)[:, 0].astype(float)
         p = _less(c, d) / total + sum(x * n for x, n in zip(d, followers, strict=True)) / total * p
+    p = p[own]
     any_hot = any(model.hot)
     for k in range(2, model.order + 1):
         if k not in model.discounts:
             break
         d, top = model.discounts[k], k == model.order
-        seen = arrays.find(CONTEXT + k, dealt)
+        seen = arrays.find(CONTEXT + k, asked, edges)
         if top and any_hot:
-            seen = seen + arrays.find(HOT + k, dealt)
+            seen = seen + arrays.find(HOT + k, asked, edges)
         total = np.maximum(seen[:, 0], 1).astype(float)
         passed_on = np.where(seen[:, 0] > 0, seen[:, 1:] @ np.array(d) / total, 1.0)
         context = back[where - k + 1]
         gram = grams(tokens, k, 0)
         asked, first, back = distinct(gram)
-        dealt = arrays.deal(asked, placing(asked, shorter[first], model.hot) if top else None)
-        c = arrays.find(k, dealt)[back[where - k + 1], 0].astype(float)
+        asked, edges, back = arrays.deal(asked, back, placing(asked, shorter[first], model.hot) if top else None)
+        c = arrays.find(k, asked, edges)[:, 0][back[where - k + 1]].astype(float)
         # an unseen context has no seen n-gram
         p = _less(c, d) / total[context] + passed_on[context] * p
         shorter = gram
@@ -554,7 +561,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         columns = (ids, sizes, known, base, own, 10 ** np.minimum(-own / sizes, 300))
         return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)]
 
-    return arrowio.map_chunks(docs, kernel, SCORE_SCHEMA, 4 << 20)
+    return arrowio.map_chunks(docs, kernel, SCORE_SCHEMA, RUN)
 
 
 def op6_kneser_ney(spark, sf_dir: str, order: int = 3) -> DataFrame:
