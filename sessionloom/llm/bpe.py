@@ -7,7 +7,8 @@ encoding; appending bytes goes on from the last prefix; an edit recomputes from
 as many prefixes as the longest token has bytes agree again, and keeps the rest.
 
 A text is cut into pieces by a pattern first and each piece is encoded by itself; a piece that is itself in the
-vocabulary is that token. Null texts count as empty: no tokens. Texts are never shortened. Workers remember encoded
+vocabulary is that token. New pieces of a run of texts are encoded in byte order, and each goes on from the prefix that it
+shares with the one before, as the last token of a prefix doesn't depend on what follows. Null texts count as empty: no tokens. Texts are never shortened. Workers remember encoded
 pieces in two generations of at most ``CACHE`` entries; this changes speed only.
 """
 
@@ -16,7 +17,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 import tiktoken
@@ -26,6 +29,8 @@ from sessionloom.llm import arrowio
 
 CACHE = 250_000
 PAIRS = 400_000
+#: Characters of the longest piece that workers remember.
+REMEMBERED = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -155,6 +160,18 @@ class PrefixEncoder:
         self.piece += more
         self.vocabulary.extend(self.piece, self.last, len(self.piece))
 
+    def become(self, piece: bytes) -> PrefixEncoder:
+        """Another piece: prefixes that it shares with the one before stay."""
+        same = 0
+        for a, b in zip(self.piece, piece, strict=False):
+            if a != b:
+                break
+            same += 1
+        self.piece = piece
+        del self.last[same + 1 :]
+        self.vocabulary.extend(piece, self.last, len(piece))
+        return self
+
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replaces piece[start:stop]; returns how many prefixes were computed again."""
         old, shift = self.last, len(new) - (stop - start)
@@ -235,15 +252,31 @@ class PieceCache(dict):
     def __missing__(self, piece: str) -> tuple[str, int, bytes]:
         value = self.old.get(piece)
         if value is None:
-            ids = encode_piece(self.vocabulary, piece.encode())
-            value = (",".join(map(str, ids)), len(ids), b"".join(map(self.vocabulary.bytes.__getitem__, ids)))
-        if len(piece) <= 256:
-            if len(self) >= CACHE:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = value
+            value = self._value(encode_piece(self.vocabulary, piece.encode()))
+        if len(piece) <= REMEMBERED:
+            self._keep(piece, value)
         return value
 
+    def _value(self, ids: list[int]) -> tuple[str, int, bytes]:
+        return ",".join(map(str, ids)), len(ids), b"".join(map(self.vocabulary.bytes.__getitem__, ids))
+
+    def _keep(self, piece: str, value: tuple[str, int, bytes]) -> None:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encodes those that aren't known in their order, so that each goes on from the prefix it shares with the one before."""
+        ranks, encoder = self.vocabulary.ranks.get, PrefixEncoder(self.vocabulary)
+        for piece in sorted([p for p in set(pieces) if p not in self and len(p) <= REMEMBERED]):
+            value = self.old.get(piece)
+            if value is None:
+                whole = piece.encode()
+                token = ranks(whole)
+                value = self._value([token] if token is not None else encoder.become(whole).tokens())
+            self._keep(piece, value)
+
 
 @functools.lru_cache(2)
 def cached_vocabulary(path: str) -> PieceCache:
@@ -274,8 +307,10 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def kernel(ids, texts):
         cache, find = cached_vocabulary(path), piece_finder(pattern)
         counts, digests, decoded = [], [], []
-        for text in texts:
-            found = [cache[piece] for piece in find((text or b"").decode())]
+        pieces = [find((text or b"").decode()) for text in texts]
+        cache.learn(itertools.chain.from_iterable(pieces))
+        for each in pieces:
+            found = [cache[piece] for piece in each]
             counts.append(sum([x[1] for x in found]))
             digests.append(hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest())
             decoded.append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())

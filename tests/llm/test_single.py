@@ -124,6 +124,31 @@ def base_brute(text):
     return [(a, b, secrets.KINDS[k]) for a, b, k in sorted(spans, key=lambda s: (s[0], s[2]))]
 
 
+def test_bpe_new_pieces_share_prefixes(monkeypatch):
+    """Pieces learned in order equal the library's, and a shared prefix isn't computed again."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    vocabulary = bpe.cached_vocabulary(path).vocabulary
+    rng = random.Random(5)
+    stems = ["".join(rng.choices("abcdeilnorstuö", k=9)) for _ in range(40)]
+    pieces = [stem + end for stem in stems for end in ("", "ar", "ara", "en", "ens", "o" * 300, "\U0001f600")]
+    rng.shuffle(pieces)
+    computed, extend = [0], vocabulary.extend
+
+    def counted(piece, last, until):
+        computed[0] += until + 1 - len(last)
+        extend(piece, last, until)
+
+    monkeypatch.setattr(vocabulary, "extend", counted)
+    cache = bpe.PieceCache(vocabulary)
+    cache.learn(pieces + pieces)
+    short = [p for p in pieces if len(p) <= bpe.REMEMBERED]
+    assert set(cache) == set(short)
+    assert computed[0] < 0.5 * sum(len(p.encode()) for p in short)
+    for piece in pieces:
+        assert list(map(int, cache[piece][0].split(","))) == bpe.encode_piece(vocabulary, piece.encode())
+        assert cache[piece][2] == piece.encode()
+
+
 def test_secret_base_spans():
     rng = random.Random(4)
     parts = ["password", "TOKEN", "api_key", "ApiKey", "secret", "ſecret", "passwd", " = ", ":", "='", '": "', "abc", "deadbeef", "0123456789abcdef", "AKIA", "ABCDEFGH1234", "é", " ", "\n", "zz.9=="]
