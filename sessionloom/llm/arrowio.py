@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,11 +36,36 @@ def release() -> None:
         trim(0)
 
 
-def lean(f: Callable) -> Callable:
-    """``f`` over a task's batches; its worker, which outlives the task, then gives back what it no longer uses."""
+_residents: list[tuple[str, Callable]] = []
+
+
+def resident(f: Callable) -> Callable:
+    """Remembers results of ``f``, which are large and slow to make, until the worker gets a task of another module than f's."""
+    cached = functools.lru_cache(2)(f)
+    _residents.append((f.__module__, cached))
+    return cached
+
+
+def make_room(module: str) -> None:
+    """Drops the residents of other modules: a worker outlives its operator, and would hold them beside the next one's arrays."""
+    others = [cached for owner, cached in _residents if owner != module and cached.cache_info().currsize]
+    for cached in others:
+        cached.cache_clear()
+    if others:
+        gc.collect()
+        release()
+
+
+def lean(f: Callable, module: str = "") -> Callable:
+    """``f`` over a task's batches; its worker, which outlives the task, then gives back what it no longer uses.
+
+    module: whose residents the task may use, if not those of f's own.
+    """
+    module = module or f.__module__
 
     @functools.wraps(f)
     def run(batches):
+        make_room(module)
         try:
             yield from f(batches)
         finally:
@@ -81,14 +107,13 @@ def map_chunks(df: DataFrame, kernel: Callable, schema: str, limit: int = CHUNK_
     """mapInArrow over (doc_id, text) rows; ``kernel(ids, texts)`` returns columns of ``schema`` in order, or None."""
     names = [part.split()[0] for part in schema.split(",")]
 
-    @lean
     def run(batches):
         for ids, texts in chunks(batches, limit):
             columns = kernel(ids, texts)
             if columns is not None:
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run, kernel.__module__), schema)
 
 
 @contextlib.contextmanager

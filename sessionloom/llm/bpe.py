@@ -278,7 +278,7 @@ class PieceCache(dict):
             self._keep(piece, value)
 
 
-@functools.lru_cache(2)
+@arrowio.resident
 def cached_vocabulary(path: str) -> PieceCache:
     return PieceCache(Vocabulary(load_ranks(path)))
 

@@ -21,7 +21,6 @@ Null text counts as empty: the end id alone. Repeated rows are packed once each.
 from __future__ import annotations
 
 import bisect
-import functools
 import re
 import zlib
 from collections import defaultdict
@@ -73,7 +72,7 @@ class WordIds(dict):
         return long
 
 
-@functools.lru_cache(2)
+@arrowio.resident
 def _word_ids(path: str) -> WordIds:
     import os
 

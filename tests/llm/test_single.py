@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bpe, kneser_ney, language_id, media_avi, packing, secrets, url_rules
+from sessionloom.llm import arrowio, bpe, kneser_ney, language_id, media_avi, packing, secrets, url_rules
 
 TEXTS = [(1, "The cat, sat.\nOn the mat  12 don't É"), (2, None), (3, ""), (4, "x" * 20000), (1, "The cat, sat.\nOn the mat  12 don't É"), (5, "In " * 3000), (None, "naïve 你好 😀\u200b")]
 SCHEMA = "doc_id long, text string, payload string, n_tokens int"
@@ -149,6 +149,18 @@ def test_bpe_new_pieces_share_prefixes(monkeypatch):
         assert cache[piece][2] == piece.encode()
 
 
+def test_workers_drop_other_operators_vocabularies():
+    packing._word_ids(public_tokenizers.path("word_bpe_49k.json"))
+
+    def rows(batches):
+        yield from batches
+
+    list(arrowio.lean(rows, packing.__name__)(iter(())))
+    assert packing._word_ids.cache_info().currsize == 1
+    list(arrowio.lean(rows, language_id.__name__)(iter(())))
+    assert packing._word_ids.cache_info().currsize == 0
+
+
 def test_secret_base_spans():
     rng = random.Random(4)
     parts = ["password", "TOKEN", "api_key", "ApiKey", "secret", "ſecret", "passwd", " = ", ":", "='", '": "', "abc", "deadbeef", "0123456789abcdef", "AKIA", "ABCDEFGH1234", "é", " ", "\n", "zz.9=="]
