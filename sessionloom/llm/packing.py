@@ -13,7 +13,8 @@ Pieces then find their places without a global sort: a piece's rank among the pi
 its (length, salt) cell plus its number in the cell, where a length has as many salts as its count asks for; the plan turns
 (length, rank) into sequence and offset.
 
-``pieces`` takes tokenizers that lower-case letters and split at white space first, as the one of the query: words are coded once.
+``pieces`` takes tokenizers that lower-case letters, split at white space first and then keep runs of letters, digits and runs
+of marks apart, the last token of each ending with ``</w>``, as the one of the query: words are coded once.
 
 Null text counts as empty: the end id alone. Repeated rows are packed once each. An empty table packs to no rows.
 """
@@ -21,12 +22,16 @@ Null text counts as empty: the end id alone. Repeated rows are packed once each.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
+import string
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,40 +41,78 @@ CAPACITY, END_ID, CACHE = 4096, 1, 500_000
 #: How fast a length's price falls as its pieces are covered, the extra price of large ones, how much more lagging lengths
 #: are drawn for a pricing, how many it looks at, and the share of all tokens that the program leaves to best fit.
 RATE, LARGE, DRAW, PRICED, TAIL = 0.01, 0.002, 2.0, 96, 0.03
+#: Bytes of text whose words are numbered at once: the more, the fewer words are looked up again.
+CHUNK_BYTES = 2 << 20
 #: Pieces of one length that one task numbers.
 CELL = 1_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
+class WordIds:
     """word without white space -> its ids as little-endian unsigned 32-bit bytes, in two generations of bounded size."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Makes all the words known; returns those too long to keep."""
-        new, long = [], {}
-        for w in dict.fromkeys(words):
-            if w not in self:
-                if (ids := self.old.get(w)) is not None:
-                    self[w] = ids
-                else:
-                    new.append(w)
-        if len(self) + len(new) > CACHE:
-            self.old = dict(self)
-            keep = {w: self.old[w] for w in dict.fromkeys(words) if w in self.old}
-            self.clear()
-            self.update(keep)
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, encode(part, add_special_tokens=False), strict=True):
-                (self if len(w) <= 128 else long)[w] = np.array(e.ids, "<u4").tobytes()
-        return long
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        # the same model for words of small letters, which neither the normaliser nor the pattern would change
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        mark = self._encode(self.tokenizer, [MARK])[0].tolist()
+        self.mark = mark[0] if len(mark) == 1 else -1
+
+    @staticmethod
+    def _encode(tokenizer, texts: Sequence[str]) -> list[np.ndarray]:
+        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        return [np.array(e.ids, "<u4") for e in encode(list(texts), add_special_tokens=False)]
+
+    def _fresh(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words not known yet. A call costs more than a word, so many go as one text, which is cut at the ids that end
+        a word or at marks put between the words; long words and those that hold the mark go by themselves."""
+        small, other, alone = [], [], []
+        for w in words:
+            (alone if len(w) > LONG or MARK in w else small if _SMALL(w) else other).append(w)
+        for part in itertools.batched(small, PART):
+            ids = self._encode(self.plain, [" ".join(part)])[0]
+            after = np.flatnonzero(self.ends[ids]) + 1
+            yield from self._cut(part, ids, after, after)
+        for part in itertools.batched(other, PART):
+            ids = self._encode(self.tokenizer, [f" {MARK} ".join([*part, ""])])[0]
+            marks = np.flatnonzero(ids == self.mark)
+            yield from self._cut(part, ids, marks, marks + 1)
+        for part in itertools.batched(alone, PART):
+            yield from self._single(part)
+
+    def _single(self, words: Sequence[str]) -> Iterator[tuple[str, bytes]]:
+        return zip(words, (ids.tobytes() for ids in self._encode(self.tokenizer, words)), strict=True)
+
+    def _cut(self, words: Sequence[str], ids: np.ndarray, ends: np.ndarray, nexts: np.ndarray) -> Iterator[tuple[str, bytes]]:
+        """Each word's run of ids, by where it ends and where the next one begins; one by one if those aren't as many as words."""
+        if len(ends) != len(words):
+            return self._single(words)
+        blob = ids.tobytes()
+        return ((w, blob[a:b]) for w, a, b in zip(words, [0, *(4 * nexts[:-1]).tolist()], (4 * ends).tolist(), strict=True))
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the words, which should be distinct."""
+        out = list(map(self.young.get, words))
+        open_ = [k for k, ids in enumerate(out) if ids is None]
+        if len(self.young) + len(open_) > CACHE:
+            self.young, self.old = {}, self.young
+        places: dict[str, int] = {}
+        for k in open_:
+            w = words[k]
+            if (ids := self.old.get(w)) is None:
+                places[w] = k
+            else:
+                out[k] = self.young[w] = ids
+        for w, ids in self._fresh(list(places)):
+            out[places[w]] = ids
+            if len(w) <= LONG:
+                self.young[w] = ids
+        return out
 
 
 @arrowio.resident
@@ -80,30 +123,61 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-#: A full stop or comma between a letter or digit and white space is a piece by itself wherever it stands.
-_STOP = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n]|$)")
+#: A character that is a piece by itself and whose id no other text has, between words that are coded as one text.
+MARK = "\x01"
+#: Longer words are coded one by one and not kept; words that one text holds.
+LONG, PART = 128, 20_000
+#: Small letters that normal forms leave alone, whatever follows among them.
+_SMALL = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+_TAIL_MARKS = "".join(sorted(set(string.punctuation) - {"'"}))
+#: Letters and digits that stay such in the tokenizer, whatever its version of Unicode.
+_STEM_ENDS = pa.array(sorted({*string.ascii_letters, *string.digits, *map(chr, range(0xC0, 0x250))} - {"\xd7", "\xf7", "\u0130"}), pa.large_string())
 
 
-def _words(text: bytes | None) -> list[str]:
-    """Parts of the text at white space, folded so that fewer are distinct, which encode one by one to the same ids.
+def _stems_tails(words: pa.LargeStringArray) -> pa.LargeStringArray:
+    """The stem and the tail of each word in turn. A run of ASCII marks after a letter or digit, at the word's end, is a
+    piece by itself, so it goes to the tail: fewer stems are distinct.
 
-    The tokenizer lowers letters itself, so ASCII capitals may go first, except where a special token's text could arise.
+    Not in words where a special token may stand, nor for apostrophes, which may begin a piece of letters.
     """
-    if not text:
-        return []
-    if b"<|" not in text:
-        text = _STOP.sub(rb" \1", text.lower())
-    return text.replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ").decode().split(" ")
+    stems = pc.ascii_rtrim(words, characters=_TAIL_MARKS)
+    cut = pc.and_not(pc.is_in(pc.utf8_slice_codeunits(stems, -1), value_set=_STEM_ENDS), pc.match_substring(words, "<|"))
+    sizes = pc.binary_length(pc.if_else(cut, stems, words)).to_numpy()
+    _, places, blob = words.buffers()
+    places = np.frombuffer(places, np.int64)[: len(words) + 1]
+    both = np.empty(2 * len(words) + 1, np.int64)
+    both[::2], both[1::2] = places, places[:-1] + sizes
+    return pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(both), blob)
+
+
+_BLANKS = bytes.maketrans(b"\n\t\r", b"   ")
+_SMALL_BLANKS = bytes.maketrans(string.ascii_uppercase.encode() + b"\n\t\r", string.ascii_lowercase.encode() + b"   ")
+
+
+def _folded(text: bytes | None) -> bytes:
+    """Fewer distinct words: the tokenizer lowers letters itself, so ASCII capitals may go first, except where a special
+    token's text could arise."""
+    return text.translate(_BLANKS if b"<|" in text else _SMALL_BLANKS) if text else b""
 
 
 def text_ids(texts: list[bytes | None], path: str) -> list[bytes]:
-    """Ids of each text as the tokenizer gives them for the whole text; its pieces never reach over white space."""
-    cache = _word_ids(path)
-    split = [_words(t) for t in texts]
-    long = cache.learn([w for words in split for w in words])
-    if long:
-        return [b"".join([long[w] if w in long else cache[w] for w in words]) for words in split]
-    return [b"".join([cache[w] for w in words]) for words in split]
+    """Ids of each text as the tokenizer gives them for the whole text; its pieces never reach over white space.
+
+    Arrow splits and numbers the words and puts their ids together again; Python sees each distinct word once.
+    """
+    if not texts:
+        return []
+    split = pc.split_pattern(pa.array(list(map(_folded, texts)), pa.large_string()), " ")
+    words = split.values.dictionary_encode()
+    parts = _stems_tails(words.dictionary).dictionary_encode()
+    coded = _word_ids(path).ids(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+    _, places, blob = pa.array(coded, pa.large_binary()).take(parts.indices).buffers()
+    # a word's tail lies behind its stem
+    by_word = pa.py_buffer(np.frombuffer(places, np.int64)[: len(parts) + 1 : 2].copy())
+    _, places, blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.dictionary), [None, by_word, blob]).take(words.indices).buffers()
+    ends = np.frombuffer(places, np.int64)[split.offsets.to_numpy()].tolist()
+    blob = memoryview(blob or b"")
+    return [bytes(blob[a:b]) for a, b in itertools.pairwise(ends)]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -120,7 +194,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
 
-    return arrowio.map_chunks(arrowio.id_text(docs), kernel, PIECE_SCHEMA)
+    return arrowio.map_chunks(arrowio.id_text(docs), kernel, PIECE_SCHEMA, CHUNK_BYTES)
 
 
 def _knapsack(lengths: list[int], prices: list[float], bounds: list[int], capacity: int) -> dict[int, int]:

@@ -210,6 +210,50 @@ def test_packing_ids_equal_library():
         assert np.frombuffer(packing.text_ids([t.encode()], WORDS)[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_packing_ids_of_many_texts_equal_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 300)
+    words = packing.WordIds(WORDS)
+    monkeypatch.setattr(packing, "_word_ids", lambda path: words)
+    lib, rng = Tokenizer.from_file(WORDS), random.Random(11)
+    parts = ["the", "naïve", "É", "ŕ", "İ", "straße", "Σς", "中", "٣", "e\u0301", "\u0301", "'s", "'", "%%", "!", ".", "…", "×", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "\x01", "\x00", "_", "ing", "12", "ÿ", "ﬁ", "ª", "\u3000", "\x0b", "x" * 200]
+    for k in range(12):
+        if k == 11:
+            # cuts that don't match: each word by itself
+            words.mark, words.ends, words.young, words.old = -1, np.zeros_like(words.ends), {}, {}
+        texts = ["".join(rng.choices(["", " ", "\n"])[0].join(rng.choices(parts, k=rng.randint(1, 6))) + rng.choice(["", " ", "\n", "\t"]) for _ in range(rng.randint(0, 8))) for _ in range(200)]
+        found = packing.text_ids([None if not k and not t else t.encode() for t in texts], WORDS)
+        for t, ids in zip(texts, found, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    assert packing.text_ids([], WORDS) == [] and packing.text_ids([None, b"", b" \n"], WORDS) == [b"", b"", b""]
+
+
+def test_packing_encodes_many_new_words_in_few_calls(monkeypatch):
+    from tokenizers import Tokenizer
+
+    class Counted:
+        seen = 0
+
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch(self, texts, **options):
+            Counted.seen += len(texts)
+            return self.inner.encode_batch(texts, **options)
+
+    words = packing.WordIds(WORDS)
+    for name, value in list(vars(words).items()):
+        if isinstance(value, Tokenizer):
+            setattr(words, name, Counted(value))
+    monkeypatch.setattr(packing, "_word_ids", lambda path: words)
+    rng = random.Random(12)
+    text = " ".join("".join(rng.choices("abcdefghé", k=9)) + rng.choice(["", ",", "!!", "'s", "7"]) for _ in range(3000))
+    lib = Tokenizer.from_file(WORDS)
+    assert np.frombuffer(packing.text_ids([text.encode()], WORDS)[0], "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert Counted.seen <= 10
+
+
 def test_packing_plan_is_tight():
     rng = random.Random(6)
     histogram = collections.Counter(min(4095, 1 + int(rng.lognormvariate(6, 1))) for _ in range(20000))
